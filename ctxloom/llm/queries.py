@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.llm import packing, simhash
+from ctxloom.llm import packing, passages, simhash
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,13 +19,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(passages.repeated_passages(_table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op2_best_fit_packing": op2_best_fit_packing, "op10_simhash": op10_simhash}
+    return {"op2_best_fit_packing": op2_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
