@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.llm.shared import Scratch
@@ -68,30 +68,40 @@ class Block:
         return (raw[a:b] for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True))
 
 
-def pack_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(block, n_bytes, value) of ``docs`` (doc_id, text; null text: empty), written to ``scratch``."""
+def pack_blocks(docs: DataFrame, scratch: Scratch, role: Column | None = None) -> DataFrame:
+    """(block, role, n_docs, n_bytes, value) of ``docs`` (doc_id, text; null text: empty), written to ``scratch``.
+
+    A block holds documents of one ``role`` (a small number, 0 if not given).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+        task, k = TaskContext.get().partitionId(), 0
+        held: dict[int, tuple[list, list]] = {}
+        size: dict[int, int] = {}
 
-        def flush() -> pa.RecordBatch:
+        def flush(of: int) -> pa.RecordBatch:
+            nonlocal k
+            ids, texts = held.pop(of)
             value = squeeze(np.array(ids, np.int64), np.array([len(t) for t in texts], np.int64), b"".join(texts))
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + k]), pa.array([size]), pa.array([value], pa.binary())], ["block", "n_bytes", "value"])
+            k += 1
+            row = [(task << 32) + k - 1], [of], [len(ids)], [size.pop(of)], [value]
+            kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["block", "role", "n_docs", "n_bytes", "value"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t, r in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 t = (t or "").encode("utf-8", "surrogatepass")
+                ids, texts = held.setdefault(r, ([], []))
                 ids.append(NO_ID if i is None else i)
                 texts.append(t)
-                size += len(t)
-                if size >= BLOCK_BYTES or len(ids) >= BLOCK_BYTES // 64:
-                    yield flush()
-                    k, ids, texts, size = k + 1, [], [], 0
-        if ids:
-            yield flush()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scratch.keep(rows.mapInArrow(run, "block long, n_bytes long, value binary"), "blocks")
+                size[r] = size.get(r, 0) + len(t)
+                if size[r] >= BLOCK_BYTES or len(ids) >= BLOCK_BYTES // 64:
+                    yield flush(r)
+        for r in sorted(held):
+            yield flush(r)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(0) if role is None else role).cast("int").alias("role"))
+    return scratch.keep(rows.mapInArrow(run, "block long, role int, n_docs long, n_bytes long, value binary"), "blocks")
 
 
 def bucket_count(blocks: DataFrame) -> int:

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.llm import packing, passages, simhash
+from ctxloom.llm import lm, packing, passages, simhash
+from ctxloom.llm.shared import remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,6 +20,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(remainder("doc_id", 10), F.lit(0)) == 0
+    return lm.score_corpus(_table(spark, sf_dir, "documents")).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(passages.repeated_passages(_table(spark, sf_dir, "documents")))
 
@@ -29,7 +35,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_best_fit_packing": op2_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
+    return {"op2_best_fit_packing": op2_best_fit_packing, "op5_lm_scoring": op5_lm_scoring, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
