@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.llm import lm, packing, passages, simhash
+from ctxloom.llm import lm, packing, passages, simhash, tokens, toxicity
 from ctxloom.llm.shared import remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,25 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, passages="passages")
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits on every document: a deletion after a quarter, an insertion in the middle, another end."""
+    n = F.char_length(F.coalesce("text", F.lit("")))
+
+    def edit(start, stop, replacement: str):
+        return F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.lit(replacement).alias("replacement"))
+
+    edits = F.array(edit(F.floor(n / 4), F.floor(n / 4) + 7, ""), edit(F.floor(n / 2), F.floor(n / 2), " a corrected line\n"), edit(n, n + 64, "end of text."))
+    found = tokens.count_edits(_table(spark, sf_dir, "documents"), TOKENIZER, edits)
+    return found.select("doc_id", "n_tokens", "n_pieces", "edited_tokens", "n_encoded", F.sha2("edited_text", 256).alias("edited_sha256"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(remainder("doc_id", 10), F.lit(0)) == 0
     return lm.score_corpus(_table(spark, sf_dir, "documents")).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -35,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_best_fit_packing": op2_best_fit_packing, "op5_lm_scoring": op5_lm_scoring, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
+    return {"op2_best_fit_packing": op2_best_fit_packing, "op4_toxicity": op4_toxicity, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
