@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: What the contracts call white space: U+0020 and U+0009 to U+000D.
 BLANK = "[\\x20\\x09-\\x0D]+"
+#: Spark's switch that removes a query's shuffle files when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,7 +37,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true")  # what the write shuffled isn't read again once the table stands
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
