@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.llm import lm, packing, passages, simhash, tokens, toxicity
+from ctxloom.llm import lm, mixing, order_minhash, packing, passages, simhash, tokens, toxicity
 from ctxloom.llm.shared import remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,17 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(_table(spark, sf_dir, "documents")).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.fingerprint_edits(_table(spark, sf_dir, "documents"))
+    text = order_minhash.as_text
+    return found.select("doc_id", "n_chars", "edited_sha256", text(F.col("signature")).alias("fingerprint"), text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "n_tokens", "epoch", "block", "block_key", "doc_key", F.round("weight", 9).alias("weight"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(passages.repeated_passages(_table(spark, sf_dir, "documents")))
 
@@ -54,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_best_fit_packing": op2_best_fit_packing, "op4_toxicity": op4_toxicity, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
+    return {"op2_best_fit_packing": op2_best_fit_packing, "op4_toxicity": op4_toxicity, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op7_order_minhash": op7_order_minhash, "op8_source_mixing": op8_source_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
