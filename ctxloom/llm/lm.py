@@ -54,7 +54,14 @@ class Tokens:
         return out
 
 
-def _send(row: dict, buckets: int):
+def _trims(blocks: DataFrame) -> tuple[np.uint64, ...]:
+    """Low bits of the keys that are not sent, by order. Words keep all 64. Of longer n-grams 20 bits more than it takes to number
+    the corpus's bytes are sent: about one in a million of their counts holds another n-gram's, at any size."""
+    bits = min(64, max(1, int(blocks.agg(F.sum("n_bytes")).first()[0] or 0)).bit_length() + 18)
+    return np.uint64(0), np.uint64(64 - bits), np.uint64(64 - bits)
+
+
+def _send(row: dict, buckets: int, trims: tuple[np.uint64, ...]):
     """For each bucket: the role, and for each order the distinct keys with their counts in the block."""
     tokens = Tokens(Block(row["value"]))
     parts: dict[int, list] = {}
@@ -65,7 +72,7 @@ def _send(row: dict, buckets: int):
         keys = keys[first]
         cuts = split_by_bucket(keys, buckets)
         for b in range(buckets):
-            parts.setdefault(b, []).extend((np.diff(keys[cuts[b] : cuts[b + 1]], prepend=np.uint64(0)), n[cuts[b] : cuts[b + 1]]))
+            parts.setdefault(b, []).extend((np.diff(keys[cuts[b] : cuts[b + 1]] >> trims[k], prepend=np.uint64(0)), n[cuts[b] : cuts[b + 1]]))
     for b, arrays in parts.items():
         if any(len(a) for a in arrays):
             yield row["block"], b, squeeze(np.array([row["role"]]), *arrays)
@@ -177,7 +184,8 @@ def score_corpus(docs: DataFrame, role: Column | None = None, unigram_add: float
         role = F.when(r == 0, HELD_OUT).when(r == 1, FOLD).otherwise(TRAIN)
     blocks = pack_blocks(docs, scratch, role)
     buckets = bucket_count(blocks)
-    sent = each(blocks.select("block", "role", "value"), lambda row: _send(row, buckets), "block long, bucket int, value binary")
+    trims = _trims(blocks)
+    sent = each(blocks.select("block", "role", "value"), lambda row: _send(row, buckets, trims), "block long, bucket int, value binary")
     answers = scratch.keep(by_bucket(sent, _merge, buckets), "answers")
     sums = each(answers.where("block < 0").select("value"), lambda row: [tuple(unsqueeze(row["value"])[0].tolist())], "n long, v long, f long").agg(F.sum("n"), F.sum("v"), F.sum("f")).first()
     n_tokens, n_words, fold_tokens = (int(x or 0) for x in sums)
