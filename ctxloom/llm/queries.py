@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxloom.llm import lines, lm, mixing, order_minhash, packing, passages, simhash, tokens, toxicity
+from ctxloom.llm import graph_index, lines, lm, mixing, order_minhash, packing, passages, simhash, tokens, toxicity
 from ctxloom.llm.shared import remainder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return graph_index.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -69,7 +74,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_best_fit_packing": op2_best_fit_packing, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op7_order_minhash": op7_order_minhash, "op8_source_mixing": op8_source_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
+    return {"op1_graph_ann": op1_graph_ann, "op2_best_fit_packing": op2_best_fit_packing, "op3_line_dedup": op3_line_dedup, "op4_toxicity": op4_toxicity, "op5_lm_scoring": op5_lm_scoring, "op6_token_counts": op6_token_counts, "op7_order_minhash": op7_order_minhash, "op8_source_mixing": op8_source_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
