@@ -138,6 +138,8 @@ def build(points: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1
                 mine = nodes[some]
                 for a in range(0, len(mine), 2048):
                     have = np.concatenate((graph.edges[mine[a : a + 2048]], back[a : a + 2048]), axis=1)
+                    have = np.sort(have, axis=1)
+                    have[:, 1:][have[:, 1:] == have[:, :-1]] = -1
                     full = (have >= 0).sum(axis=1) > degree
                     part = mine[a : a + 2048]
                     packed = np.take_along_axis(have, np.argsort(have < 0, axis=1, kind="stable"), axis=1)[:, :degree]
