@@ -1,16 +1,73 @@
-"""The corpus pipeline: five stages over documents, each one operator of ctxloom.llm."""
+"""The corpus pipeline: five stages over documents, each one operator of ctxloom.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
+of ``documents``. The order is fixed: toxic documents go, repeated lines go, one document of each near-duplicate group stays, sources are
+mixed to tempered weights, and what is left is packed into training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ctxloom.llm import lines, mixing, packing, simhash, toxicity
+from ctxloom.llm.shared import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose whole text scores below 0.5; the model learns from the labels and this stage's own input."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, into="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with one line kept of each class of near-equal lines; those of which nothing is left go."""
+    return lines.without_repeats(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that SimHash links connect, the document with the smallest doc_id.
+
+    Documents without a word share the fingerprint 0 and so are one group. Rows that repeat a doc_id stay together.
+    """
+    scratch = Scratch(spark, "near-duplicates")
+    kept = simhash.near_duplicates(docs).where("component_id is null or doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = scratch.keep(kept, "kept")
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources have tempered weights: each at least once, none more than twice as often as its weight needs."""
+    return mixing.mixed_documents(docs, most_repeats=2.0)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens, placed in sequences of at most 2048."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
+#: Learned scores, signatures and tokenisation are beyond SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written and read again, as the next one's input."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    last = len(STAGES) - 1
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < last:
+            docs = scratch.keep(docs, f"stage{k}")
+        if 0 < k < last:
+            scratch.drop(f"stage{k - 1}")
     return docs
