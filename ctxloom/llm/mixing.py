@@ -21,11 +21,11 @@ def _sum(values: Column, of) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
 
 
-def exponent(shares: Column, entropy_share: float, most_repeats: float, budget_over_total: Column, steps: int = 50) -> Column:
+def exponent(shares: Column, entropy_share: float, most_repeats: float, budget_over_total: Column | None, steps: int = 50) -> Column:
     """The exponent for an array of positive shares, by bisection.
 
     It is the largest at which the entropy is at least ``entropy_share`` of what equal weights have, but not so small that a
-    source would be read more than ``most_repeats`` times. Both fall as the exponent grows.
+    source would be read more than ``most_repeats`` times. Both fall as the exponent grows. Without a budget the source that is read least is read once.
     """
 
     def flat_enough(t: Column) -> Column:
@@ -34,6 +34,8 @@ def exponent(shares: Column, entropy_share: float, most_repeats: float, budget_o
         return entropy >= entropy_share * F.log(F.size(shares).cast("double")) - 1e-12
 
     def too_often(t: Column) -> Column:
+        if budget_over_total is None:
+            return F.pow(F.array_min(shares) / F.array_max(shares), t - 1) > most_repeats
         z = _sum(shares, lambda p: F.pow(p, t))
         return budget_over_total * F.pow(F.array_min(shares), t - 1) / z > most_repeats
 
@@ -64,7 +66,7 @@ def plan(sizes: DataFrame, scratch: Scratch, entropy_share: float, most_repeats:
     sources = scratch.keep(sources, "sources")
     one = sources.where("tokens > 0").agg(F.sum("tokens").cast("double").alias("total"), F.collect_list(F.col("tokens").cast("double")).alias("each"))
     shares = F.transform("each", lambda x: x / F.col("total"))
-    over = F.lit(1.0) if budget is None else F.lit(float(budget)) / F.col("total")
+    over = None if at_least_once else F.lit(1.0) if budget is None else F.lit(float(budget)) / F.col("total")
     one = one.withColumn("shares", shares).withColumn("exponent", exponent(F.col("shares"), entropy_share, most_repeats, over))
     one = one.withColumn("z", _sum(F.col("shares"), lambda p: F.pow(p, F.col("exponent")))).select("total", "exponent", "z", "shares")
     # Read at least once: the budget at which the source that is read least is read in one whole epoch.
