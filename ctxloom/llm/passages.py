@@ -167,7 +167,8 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
         stops = np.cumsum([len(p[3]) for p in parts]).tolist()
         return [(b, squeeze(mask[e - len(p[3]) : e])) for (b, _), p, e in zip(rows, parts, stops, strict=True)]
 
-    masks = by_bucket(rows.where("bucket >= 0"), verdicts, buckets).unionByName(rows.where("bucket < 0"))
+    masks = scratch.keep(by_bucket(rows.where("bucket >= 0"), verdicts, buckets), "masks").unionByName(scratch.keep(rows.where("bucket < 0"), "places"))
+    scratch.drop("contexts")  # the largest table; nothing reads it again
 
     def cut(block: Block, answers: dict[int, bytes]) -> pa.Table:
         begins = np.zeros(len(block.text) + 1, bool)
