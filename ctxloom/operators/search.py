@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,11 +13,14 @@ K1, B = 1.2, 0.75
 NODE_WEIGHTS = {"name": 10.0, "tokens": 6.0, "signature": 3.0, "doc": 2.0, "path": 0.5}
 TOKEN = r"[\p{L}\p{N}]+"
 MARKS = r"\p{M}+"
+#: Letters with marks and the letters without, by canonical decomposition.
+MARKED = {chr(c): b for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if (d := unicodedata.normalize("NFD", chr(c))) and len(d) > 1 and len(b := "".join(x for x in d if not unicodedata.combining(x))) == 1}
 
 
 def tokens_of(column: str):
     """Lower-cased runs of letters and digits without marks, in order."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(F.col(column), F.lit(""))), MARKS, ""), F.lit(TOKEN), F.lit(0))
+    plain = F.translate(F.lower(F.coalesce(F.col(column), F.lit(""))), "".join(MARKED), "".join(MARKED.values()))
+    return F.regexp_extract_all(F.regexp_replace(plain, MARKS, ""), F.lit(TOKEN), F.lit(0))
 
 
 def postings(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -26,9 +32,6 @@ def postings(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
 def terms_of_query(query: str) -> list[list[str]]:
     """A phrase (list of terms) for each word of the query; each phrase once."""
-    import re
-    import unicodedata
-
     found: list[list[str]] = []
     for word in query.replace('"', " ").split():
         plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
