@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -161,6 +162,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.0))
 
 
+def _third(doc_id: int) -> int:
+    """0 for the third of the labelled documents that calibrates."""
+    return zlib.crc32(f"{doc_id} calibrates".encode()) % 3
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most_labels: int = 20_000, prior: float = 500.0, least_z: float = 3.0, most_tokens: int = 50_000, drift: float = 0.1) -> Model:
     """A model from labelled documents: ``labels`` (doc_id, toxic) for which ``learn`` holds (crc32 of the id modulo 5 is not 0).
 
@@ -200,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most_
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i in known and i % 3:
+                if i in known and _third(i):
                     seen[known[i]].update({f for w in set(words_of(t)) for f in features(w)})
         words = [*(seen[0] | seen[1])]
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["word", "toxic", "clean"])
@@ -224,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most_
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i in known and not i % 3:
+                if i in known and not _third(i):
                     w = words_of(t)
                     rows.append((known[i], len(w), sorted((s[2] for s in model.segments(w)), reverse=True)[:16]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["toxic", "n", "best"])
