@@ -6,24 +6,27 @@ bands of it find candidates, whole shingle sets verify them, and connected compo
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.llm.components import connected_components
-from ctxloom.llm.shared import Scratch
+from ctxloom.llm.shared import Scratch, parallelism
 
 SHINGLE, BINS, ROWS = 8, 32, 4
-#: Lines that are found to need a look (three numbers each) are broadcast up to this number, beyond it they are joined by a shuffle.
+#: Bins of a signature are kept in rows of so many: a shingle then touches the bins of its own row only.
+TOGETHER = 8
+#: In signatures of long lines a shingle takes part if so many low bits of its hash are clear; in those of short lines all do. Lines from LONG to SHORT
+#: characters have both signatures, so that lines of similar length share a kind.
+SAMPLE_BITS, LONG, SHORT = 2, 160, 250
+#: Lines that need a look (three numbers each) are broadcast up to this number, beyond it they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line_no, norm, h1, h2) of every line; h1 is null for lines that are too short to compare."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    norm = F.lower(F.trim("line"))
-    return split.select("doc_id", "line_no", norm.alias("norm")).select("doc_id", "line_no", "norm", F.when(F.char_length("norm") >= least, F.xxhash64("norm")).alias("h1"), F.when(F.char_length("norm") >= least, F.xxhash64(F.lit(7), "norm")).alias("h2"))
+    """(doc_id, line_no, norm, line) of every line; ``line`` hashes the normalised text and is null for lines that are too short to compare."""
+    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
+    split = split.select("doc_id", "line_no", F.lower(F.trim("text")).alias("norm"))
+    return split.select("doc_id", "line_no", "norm", F.when(F.char_length("norm") >= least, F.xxhash64("norm")).alias("line"))
 
 
 def _shingle(wide: Column, i: Column) -> Column:
@@ -35,37 +38,45 @@ def _places(text: Column) -> Column:
     return F.sequence(F.lit(0), F.greatest(F.char_length(text) - SHINGLE, F.lit(0)))
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """One row for each distinct line: h1, h2, its smallest doc_id, how many there are, and its bands."""
-    rows = lines.where("h1 is not null").select("h1", "h2", "doc_id", F.encode("norm", "UTF-32").alias("wide"), F.explode(_places(F.col("norm"))).alias("i"))
-    rows = rows.select("h1", "h2", "doc_id", (F.col("i") == 0).cast("long").alias("start"), _shingle(F.col("wide"), F.col("i")).alias("h"))
-    least = [F.min(F.when(F.col("h").bitwiseAND(F.lit(BINS - 1).cast("long")) == b, F.shiftright("h", 32).cast("int"))).alias(f"m{b}") for b in range(BINS)]
-    rows = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("min_doc"), F.sum("start").alias("n"), *least)
-    sketch = F.array(*(F.col(f"m{b}") for b in range(BINS)))
-    # A bin that no shingle fell into takes the value of the next one that has any, told apart by the distance.
-    turned = [F.coalesce(*(F.col(f"m{(b + d) % BINS}") + (d * 0x1003F) % 0x7FFF for d in range(BINS))) for b in range(BINS)]
-    full = F.when(reduce(lambda a, b: a & b, (F.col(f"m{b}").isNotNull() for b in range(BINS))), sketch.cast("array<bigint>")).otherwise(F.array(*(t.cast("bigint") for t in turned)))
-    rows = rows.select("h1", "h2", "min_doc", "n", full.alias("sketch"))
-    bands = [F.xxhash64(F.lit(b), *(F.get("sketch", F.lit(b * ROWS + r)) for r in range(ROWS))) for b in range(BINS // ROWS)]
-    return rows.select(F.monotonically_increasing_id().alias("line"), "h1", "h2", "min_doc", "n", F.array(*bands).alias("bands"))
-
-
-def _jaccard(a: str, b: str) -> Column:
-    """Exact Jaccard likeness of the shingle sets of two normalised lines."""
-    left, right = _shingle_set(a), _shingle_set(b)
-    common = F.size(F.array_intersect(left, right))
-    return common / (F.size(left) + F.size(right) - common)
-
-
-def _shingle_set(x: str) -> Column:
-    wide = F.encode(F.col(x), "UTF-32")
-    return F.array_distinct(F.transform(_places(F.col(x)), lambda i: _shingle(wide, i)))
+def _bands(lines: DataFrame) -> DataFrame:
+    """(band, line) of the distinct lines' signatures: a value of (band, line) for each run of ROWS bins."""
+    size = F.char_length("norm")
+    kinds = F.when(size < LONG, F.array(F.lit(0))).when(size < SHORT, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    rows = lines.where("line is not null").select("line", F.encode("norm", "UTF-32").alias("wide"), _places(F.col("norm")).alias("places"), F.explode(kinds).alias("kind"))
+    # The wide text is made below the generator; in one select with it Spark would make it anew for every shingle.
+    rows = rows.select("line", "kind", "wide", F.explode("places").alias("i")).select("line", "kind", "i", _shingle(F.col("wide"), F.col("i")).alias("h"))
+    # In long lines shingles are sampled, the same ones in every line, by their hash.
+    rows = rows.where((F.col("kind") == 0) | (F.col("i") == 0) | (F.col("h").bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1).cast("long")) == 0))
+    rows = rows.select("line", "kind", F.shiftrightunsigned("h", SAMPLE_BITS).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int").alias("bin"), F.shiftrightunsigned("h", 36).cast("int").alias("v"))
+    rows = rows.select("line", (F.col("kind") * 64 + F.shiftright("bin", 3)).alias("part"), F.col("bin").bitwiseAND(F.lit(TOGETHER - 1)).alias("bin"), "v")
+    rows = rows.groupBy("line", "part").agg(*(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"m{b}") for b in range(TOGETHER)))
+    # A bin that no shingle fell into takes the value of the next one of its row that has any, told apart by the distance; steps of 1, 2, 4 reach all.
+    step = 1
+    while step < TOGETHER:
+        rows = rows.select("line", "part", *(F.coalesce(F.col(f"m{b}"), F.col(f"m{(b + step) % TOGETHER}") + step * 0x1003F).alias(f"m{b}") for b in range(TOGETHER)))
+        step *= 2
+    bands = [F.xxhash64("part", F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(TOGETHER // ROWS)]
+    return rows.select("line", F.explode(F.array(*bands)).alias("band"))
+
+
+def _shingle_set(text: str) -> Column:
+    """The distinct shingles of a normalised line, in one linear pass; a line shorter than one is its own."""
+    every = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.char_length(text) < SHINGLE, F.array(text)).otherwise(F.array_distinct(every))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with similar, whether their texts are as alike as that."""
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("norm_a")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("norm_b")), "b")
-    return both.select("a", "b", (_jaccard("norm_a", "norm_b") >= similarity).alias("similar"))
+    """``pairs`` (a, b) that may be alike, with similar: whether the exact Jaccard likeness of the lines' shingle sets is ``similarity`` or more.
+
+    Sets whose sizes are further apart than that cannot be as alike, so they are left out.
+    """
+    for x in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("line").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("size").alias(f"size_{x}")), x)
+    pairs = pairs.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
+    pairs = pairs.repartition(parallelism(pairs.sparkSession), "a", "b")  # the work of a pair is large for its bytes
+    # Used twice below, so that Spark makes the intersection once.
+    both = pairs.withColumn("common", F.size(F.array_intersect(_shingle_set("norm_a"), _shingle_set("norm_b"))))
+    return both.select("a", "b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")) >= similarity).alias("similar"))
 
 
 def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> DataFrame:
@@ -77,42 +88,42 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     one empty line. A null doc_id counts as larger than all; rows that share a doc_id lose what the first of equal lines has, one of equal
     (doc_id, line_no) rows included: both have the same verdict. Other columns are not read, an empty table gives no rows.
 
-    Candidates share a band: at a likeness of 0.8, 98.5 of 100 pairs do, at 0.9 all but one in 100,000. In a bucket every line is held against the most
+    Lines are told apart by 64-bit hashes of their normalised texts. Candidates share a band: at a likeness of 0.8 about 98 of 100 pairs do, at 0.9 all but one in 10,000. In a bucket every line is held against the most
     frequent one, and lines that are unlike it against all others of the bucket. Equal lines are one entry from the first aggregate on, however many there are.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = _lines(docs, least)
-    distinct = scratch.keep(_signatures(lines), "distinct")
-    # The most frequent line leads a bucket: a small rank is a large count, then a small number.
-    rank = F.shiftleft((F.lit(32767) - F.least("n", F.lit(32767))).cast("long"), 48).bitwiseOR(F.col("line").bitwiseAND(F.lit((1 << 48) - 1)))
-    banded = distinct.select("line", rank.alias("rank"), F.explode("bands").alias("band"))
+    lines = scratch.keep(_lines(docs, least).select("doc_id", "line_no", "line"), "lines")
+    distinct = scratch.keep(lines.where("line is not null").groupBy("line").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n")), "distinct")
     bucket = Window.partitionBy("band")
-    members = banded.withColumn("lead", F.min("rank").over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1")
-    members = scratch.keep(members.select("band", "line", F.col("lead").bitwiseAND(F.lit((1 << 48) - 1)).alias("lead")), "members")
+    members = _bands(_lines(docs, least)).withColumn("size", F.count("*").over(bucket)).where("size > 1").select("band", "line")
+    members = scratch.keep(members, "members")
+    # The most frequent line leads a bucket, the least number among equals.
+    leads = members.join(distinct, "line").groupBy("band").agg(F.min_by("line", F.struct(-F.col("n"), F.col("line"))).alias("lead"))
+    members = scratch.keep(members.join(leads, "band"), "led")
     # Texts of the lines in these buckets, from the document that has each first.
-    wanted = members.select("line").distinct().join(distinct.select("line", "h1", "h2", "min_doc"), "line")
-    wanted = scratch.keep(wanted, "wanted")
+    wanted = scratch.keep(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), "wanted")
     few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = lines.where("h1 is not null").join(F.broadcast(wanted) if few else wanted, ["h1", "h2"]).where("doc_id <=> min_doc")
-    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")), "texts")
+    rows = _lines(docs, least).where("line is not null").join(F.broadcast(wanted) if few else wanted, "line").where("doc_id <=> of")
+    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")).withColumn("size", F.size(_shingle_set("norm"))), "texts")
     pairs = members.where("line <> lead").select(F.col("line").alias("a"), F.col("lead").alias("b")).distinct()
     tried = scratch.keep(_verified(pairs, texts, similarity), "tried")
-    unlike = tried.where("not similar").select(F.col("a").alias("line"), F.col("b").alias("lead"))
-    odd = members.select("band", "line", "lead").join(unlike, ["line", "lead"], "left_semi").select("band", F.col("line").alias("odd"))
+    like = tried.where("similar").select(F.col("a").alias("line"), F.col("b").alias("lead"))
+    odd = members.where("line <> lead").join(like, ["line", "lead"], "left_anti").select("band", F.col("line").alias("odd"))
     rest = members.where("line <> lead").join(odd, "band").where("line <> odd").select(F.least("line", "odd").alias("a"), F.greatest("line", "odd").alias("b")).distinct()
     again = scratch.keep(_verified(rest, texts, similarity), "again")
     links = tried.where("similar").unionByName(again.where("similar")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     parts = connected_components(links, scratch)
-    of = distinct.join(parts, distinct["line"] == parts["node"], "left").select("h1", "h2", "min_doc", "n", F.coalesce("component", "line").alias("component"))
+    of = distinct.join(parts, distinct["line"] == parts["node"], "left").select("line", "min_doc", "n", F.coalesce("component", "line").alias("class_id"))
     of = scratch.keep(of, "classes")
-    heads = of.groupBy("component").agg(F.min("h1").alias("class_id"), F.min("min_doc").alias("head"), F.sum("n").alias("n"))
-    of = scratch.keep(of.select("h1", "h2", "component").join(heads, "component").select("h1", "h2", "class_id", "head", "n"), "heads")
-    found = lines.select("doc_id", "line_no", "h1", "h2").join(of, ["h1", "h2"], "left")
+    heads = of.groupBy("class_id").agg(F.min("min_doc").alias("head"), F.sum("n").alias("total"))
+    of = scratch.keep(of.select("line", "class_id").join(heads, "class_id"), "heads")
+    found = lines.where("line is not null").join(of, "line")
     first = F.min("line_no").over(Window.partitionBy("doc_id", "class_id"))
-    inside = found.where("n > 1 and doc_id <=> head").withColumn("kept", F.col("line_no") == first).select("doc_id", "line_no", "class_id", "kept")
-    outside = found.where("n is null or n = 1 or not doc_id <=> head").select("doc_id", "line_no", "class_id", (F.coalesce("n", F.lit(1)) == 1).alias("kept"))
-    return inside.unionByName(outside)
+    inside = found.where("total > 1 and doc_id <=> head").withColumn("kept", F.col("line_no") == first).select("doc_id", "line_no", "class_id", "kept")
+    outside = found.where("total = 1 or not doc_id <=> head").select("doc_id", "line_no", "class_id", (F.col("total") == 1).alias("kept"))
+    short = lines.where("line is null").select("doc_id", "line_no", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return inside.unionByName(outside).unionByName(short)
 
 
 def without_repeats(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> DataFrame:
