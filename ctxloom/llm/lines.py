@@ -17,7 +17,9 @@ SHINGLE, BINS, ROWS = 8, 32, 4
 TOGETHER = 8
 #: In signatures of long lines a shingle takes part if so many low bits of its hash are clear; in those of short lines all do. Lines from LONG to SHORT
 #: characters have both signatures, so that lines of similar length share a kind.
-SAMPLE_BITS, LONG, SHORT = 2, 160, 250
+SAMPLE_BITS, LONG, SHORT = 2, 100, 160
+#: Rounds with a lead, and what rounding may do to a distance.
+ROUNDS, MARGIN = 3, 1e-9
 #: Lines that need a look (three numbers each) are broadcast up to this number, beyond it they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 
@@ -65,18 +67,98 @@ def _shingle_set(text: str) -> Column:
     return F.when(F.char_length(text) < SHINGLE, F.array(text)).otherwise(F.array_distinct(every))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) that may be alike, with similar: whether the exact Jaccard likeness of the lines' shingle sets is ``similarity`` or more.
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    for x in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("line").alias(x), F.col("norm").alias(f"norm_{x}")), x)
+    return pairs.repartition(parallelism(pairs.sparkSession), "a", "b")  # the work of a pair is large for its bytes
+
+
+def _distances(pairs: DataFrame, texts: DataFrame, most: float) -> DataFrame:
+    """``pairs`` (a, b) with d, the exact Jaccard distance of the lines' shingle sets, where it can be ``most`` or less.
 
-    Sets whose sizes are further apart than that cannot be as alike, so they are left out.
+    Where the sizes of the sets alone make it larger, the texts are not looked at and d is the least that the sizes allow.
     """
+    sized = pairs
     for x in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("line").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("size").alias(f"size_{x}")), x)
-    pairs = pairs.where(F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))
-    pairs = pairs.repartition(parallelism(pairs.sparkSession), "a", "b")  # the work of a pair is large for its bytes
+        sized = sized.join(texts.select(F.col("line").alias(x), F.col("size").alias(f"size_{x}")), x)
+    sized = sized.withColumn("least", 1 - F.least("size_a", "size_b") / F.greatest("size_a", "size_b"))
+    far = sized.where(F.col("least") > most + MARGIN).select("a", "b", F.col("least").alias("d"))
+    near = _with_texts(sized.where(F.col("least") <= most + MARGIN).drop("least"), texts)
     # Used twice below, so that Spark makes the intersection once.
-    both = pairs.withColumn("common", F.size(F.array_intersect(_shingle_set("norm_a"), _shingle_set("norm_b"))))
-    return both.select("a", "b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")) >= similarity).alias("similar"))
+    near = near.withColumn("common", F.size(F.array_intersect(_shingle_set("norm_a"), _shingle_set("norm_b"))))
+    return near.select("a", "b", (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("d")).unionByName(far)
+
+
+def _partners(tried: DataFrame, texts: DataFrame, r: float, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): for each line v with r < d(v) <= 2 r in ``tried`` (a: line, b: lead, d) those lines of the lead that can be within r of it.
+
+    Let D be a line's set of differences from the lead (shingles that one has and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s apart, s being the
+    differences they share, and within r only if that is at most q (|A(v)| + |A(w)|), q = r / (2 - r). As |D(v)| > q (|A(v)| + |L|), they must share s >= (|D(w)| + q (|L| - |A(w)|)) / 2, and
+    s >= |D(v)| - q (|A(v)| + |A(w)|) as well. Two sets that share s elements share one among the |D| - s + 1 rarest of each; only these are joined.
+    """
+    between = tried.where((F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN))
+    rows = _with_texts(tried.join(between.select("b").distinct(), "b", "left_semi"), texts).withColumn("mine", _shingle_set("norm_a")).withColumn("its", _shingle_set("norm_b"))
+    more = F.transform(F.array_except("mine", "its"), lambda x: F.xxhash64(F.lit(1), x))
+    less = F.transform(F.array_except("its", "mine"), lambda x: F.xxhash64(F.lit(0), x))
+    rows = rows.select(F.col("b").alias("lead"), F.col("a").alias("line"), "d", F.size("mine").alias("own"), F.size("its").alias("its"), F.concat(more, less).alias("xs"))
+    rows = scratch.keep(rows.withColumn("n", F.size("xs")).select("lead", "line", "d", "own", "its", "n", F.explode("xs").alias("x")), name)
+    order = Window.partitionBy("lead", "line").orderBy("count", "x")
+    rows = rows.withColumn("count", F.count("*").over(Window.partitionBy("lead", "x"))).withColumn("place", F.row_number().over(order))
+    q = r / (2 - r)
+    least_v = F.greatest(F.ceil(F.col("n") - q * F.col("own") * (1 + 1 / (1 - r)) - MARGIN), F.lit(1))
+    least_w = F.greatest(F.ceil((F.col("n") + q * (F.col("its") - F.col("own"))) / 2 - MARGIN), F.lit(1))
+    v = rows.where((F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN)).where(F.col("place") <= F.col("n") - least_v + 1)
+    w = rows.where(F.col("place") <= F.col("n") - least_w + 1)
+    v = v.select("lead", "x", F.col("line").alias("a"), F.col("d").alias("d_a"), F.col("own").alias("own_a"))
+    w = w.select("lead", "x", F.col("line").alias("b"), F.col("d").alias("d_b"), F.col("own").alias("own_b"))
+    shared = v.join(w, ["lead", "x"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r + MARGIN))
+    return shared.where(F.least("own_a", "own_b") >= (1 - r) * F.greatest("own_a", "own_b") - MARGIN).select("a", "b")
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) that known links do not connect yet."""
+    of = parts.select(F.col("node"), "component")
+    for x in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")), x, "left")
+    return pairs.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+
+
+def _components(members: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, component) over lines that share a bucket of ``members`` (band, line) and are ``similarity`` alike.
+
+    In each round the most frequent line leads a bucket and all others are held against it. With r = 1 - similarity, lines within r of the lead are linked; lines at more than
+    2 r go on to the next round among themselves, those left after ROUNDS rounds meet each other. A line v in between, r < d(v) <= 2 r, can be alike to another line w of the
+    bucket only if (Jaccard distance being a metric) d(v) and d(w) differ by no more than r, and if v and w share enough differences from the lead (see ``_partners``). Pairs that links connect already are passed over.
+    So every pair of a bucket is verified, ruled out, or connected.
+    """
+    r = 1 - similarity
+    stars, crosses, left = [], [], members
+    for k in range(ROUNDS):
+        leads = left.join(distinct.select("line", "n"), "line").groupBy("band").agg(F.min_by("line", F.struct(-F.col("n"), F.col("line"))).alias("lead"), F.count("*").alias("size"))
+        led = scratch.keep(left.join(leads.where("size > 1"), "band").where("line <> lead").select("band", "line", "lead"), f"led{k}")
+        tried = scratch.keep(_distances(led.select(F.col("line").alias("a"), F.col("lead").alias("b")).distinct(), texts, 3 * r), f"tried{k}")
+        stars.append(tried.where(F.col("d") <= r + MARGIN).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        crosses.append(tried.where((F.col("d") > 0) & (F.col("d") <= 3 * r + MARGIN)))
+        far = tried.where(F.col("d") > 2 * r + MARGIN).select(F.col("a").alias("line"), F.col("b").alias("lead"))
+        left = led.join(far, ["line", "lead"], "left_semi").select("band", "line")
+    rest = scratch.keep(left, "rest")
+    links = _all(stars)
+    parts = scratch.keep(connected_components(links, scratch), "parts0")
+    pairs = rest.select("band", F.col("line").alias("a")).join(rest.select("band", F.col("line").alias("b")), "band").where("a < b").select("a", "b")
+    for k, tried in enumerate(crosses):
+        pairs = pairs.unionByName(_partners(tried, texts, r, scratch, f"changed{k}"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = scratch.keep(_distances(_apart(pairs, parts), texts, r), "more").where(F.col("d") <= r + MARGIN)
+    if more.isEmpty():
+        return parts
+    return connected_components(links.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), scratch)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> DataFrame:
@@ -88,8 +170,8 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     one empty line. A null doc_id counts as larger than all; rows that share a doc_id lose what the first of equal lines has, one of equal
     (doc_id, line_no) rows included: both have the same verdict. Other columns are not read, an empty table gives no rows.
 
-    Lines are told apart by 64-bit hashes of their normalised texts. Candidates share a band: at a likeness of 0.8 about 98 of 100 pairs do, at 0.9 all but one in 10,000. In a bucket every line is held against the most
-    frequent one, and lines that are unlike it against all others of the bucket. Equal lines are one entry from the first aggregate on, however many there are.
+    Lines are told apart by 64-bit hashes of their normalised texts. Candidates share a band: at a likeness of 0.8 about 98 of 100 pairs do, at 0.9 all but one in 10,000. Within a bucket every pair
+    that can be alike is verified or follows from the metric (see ``_components``). Equal lines are one entry from the first aggregate on, however many there are.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -98,22 +180,12 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     bucket = Window.partitionBy("band")
     members = _bands(_lines(docs, least)).withColumn("size", F.count("*").over(bucket)).where("size > 1").select("band", "line")
     members = scratch.keep(members, "members")
-    # The most frequent line leads a bucket, the least number among equals.
-    leads = members.join(distinct, "line").groupBy("band").agg(F.min_by("line", F.struct(-F.col("n"), F.col("line"))).alias("lead"))
-    members = scratch.keep(members.join(leads, "band"), "led")
     # Texts of the lines in these buckets, from the document that has each first.
     wanted = scratch.keep(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), "wanted")
     few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     rows = _lines(docs, least).where("line is not null").join(F.broadcast(wanted) if few else wanted, "line").where("doc_id <=> of")
     texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")).withColumn("size", F.size(_shingle_set("norm"))), "texts")
-    pairs = members.where("line <> lead").select(F.col("line").alias("a"), F.col("lead").alias("b")).distinct()
-    tried = scratch.keep(_verified(pairs, texts, similarity), "tried")
-    like = tried.where("similar").select(F.col("a").alias("line"), F.col("b").alias("lead"))
-    odd = members.where("line <> lead").join(like, ["line", "lead"], "left_anti").select("band", F.col("line").alias("odd"))
-    rest = members.where("line <> lead").join(odd, "band").where("line <> odd").select(F.least("line", "odd").alias("a"), F.greatest("line", "odd").alias("b")).distinct()
-    again = scratch.keep(_verified(rest, texts, similarity), "again")
-    links = tried.where("similar").unionByName(again.where("similar")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    parts = connected_components(links, scratch)
+    parts = _components(members, distinct, texts, similarity, scratch)
     of = distinct.join(parts, distinct["line"] == parts["node"], "left").select("line", "min_doc", "n", F.coalesce("component", "line").alias("class_id"))
     of = scratch.keep(of, "classes")
     heads = of.groupBy("class_id").agg(F.min("min_doc").alias("head"), F.sum("n").alias("total"))
