@@ -453,7 +453,7 @@ def q_degree_centrality(spark, sf):
     return G.degree_centrality(*_graph(spark, sf)).withColumn("centrality", F.round("centrality", 9))
 
 
-PPR_SQL = f"""WITH RECURSIVE {GRAPH}, b AS (SELECT src AS a, dst AS z FROM e UNION ALL SELECT dst, src FROM e), d AS (SELECT a, count(*) AS d FROM b GROUP BY a), m AS (SELECT b.a, z, count(*) / any_value(d)::DOUBLE AS w FROM b JOIN d USING (a) GROUP BY b.a, z),
+PPR_SQL = f"""WITH RECURSIVE {GRAPH}, l AS (SELECT * FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)), b AS (SELECT src AS a, dst AS z FROM l UNION ALL SELECT dst, src FROM l), d AS (SELECT a, count(*) AS d FROM b GROUP BY a), m AS (SELECT b.a, z, count(*) / any_value(d)::DOUBLE AS w FROM b JOIN d USING (a) GROUP BY b.a, z),
 r(k, id, x) AS (SELECT 0, id, CASE WHEN id IN ('n3', 's7') THEN 0.5 ELSE 0.0 END::DOUBLE FROM n UNION ALL SELECT any_value(k) + 1, id, sum(x) FROM (SELECT r.k, m.z AS id, 0.5 * r.x * m.w AS x FROM r JOIN m ON m.a = r.id WHERE r.k < 25 UNION ALL SELECT r.k, r.id, CASE WHEN r.id IN ('n3', 's7') THEN 0.25 ELSE 0.0 END FROM r WHERE r.k < 25) GROUP BY id)
 SELECT id, round(x, 7) AS rank FROM r WHERE k = 25"""
 
