@@ -89,14 +89,15 @@ def _distances(pairs: DataFrame, texts: DataFrame, most: float) -> DataFrame:
     return near.select("a", "b", (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("d")).unionByName(far)
 
 
-def _partners(tried: DataFrame, texts: DataFrame, r: float, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b): for each line v with r < d(v) <= 2 r in ``tried`` (a: line, b: lead, d) those lines of the lead that can be within r of it.
+def _partners(tried: DataFrame, texts: DataFrame, parts: DataFrame, r: float, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b): for each line v with r < d(v) <= 2 r in ``tried`` (a: line, b: lead, d) that is in another component of ``parts`` than its lead, those lines of the lead that can be within r of it.
 
     Let D be a line's set of differences from the lead (shingles that one has and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s apart, s being the
     differences they share, and within r only if that is at most q (|A(v)| + |A(w)|), q = r / (2 - r). As |D(v)| > q (|A(v)| + |L|), they must share s >= (|D(w)| + q (|L| - |A(w)|)) / 2, and
     s >= |D(v)| - q (|A(v)| + |A(w)|) as well. Two sets that share s elements share one among the |D| - s + 1 rarest of each; only these are joined.
     """
-    between = tried.where((F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN))
+    between = _apart(tried.where((F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN)).select("a", "b"), parts)
+    between = scratch.keep(between, f"{name}-between")
     rows = _with_texts(tried.join(between.select("b").distinct(), "b", "left_semi"), texts).withColumn("mine", _shingle_set("norm_a")).withColumn("its", _shingle_set("norm_b"))
     more = F.transform(F.array_except("mine", "its"), lambda x: F.xxhash64(F.lit(1), x))
     less = F.transform(F.array_except("its", "mine"), lambda x: F.xxhash64(F.lit(0), x))
@@ -107,12 +108,17 @@ def _partners(tried: DataFrame, texts: DataFrame, r: float, scratch: Scratch, na
     q = r / (2 - r)
     least_v = F.greatest(F.ceil(F.col("n") - q * F.col("own") * (1 + 1 / (1 - r)) - MARGIN), F.lit(1))
     least_w = F.greatest(F.ceil((F.col("n") + q * (F.col("its") - F.col("own"))) / 2 - MARGIN), F.lit(1))
-    v = rows.where((F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN)).where(F.col("place") <= F.col("n") - least_v + 1)
-    w = rows.where(F.col("place") <= F.col("n") - least_w + 1)
+    # A difference that one line alone has joins nothing.
+    rows = rows.where("count > 1").select("lead", "line", "d", "own", "x", (F.col("place") <= F.col("n") - least_v + 1).alias("as_v"), (F.col("place") <= F.col("n") - least_w + 1).alias("as_w")).where("as_v or as_w")
+    rows = scratch.keep(rows, f"{name}-ranked")
+    scratch.drop(name)
+    v = rows.where("as_v").join(between.select(F.col("a").alias("line"), F.col("b").alias("lead")), ["line", "lead"], "left_semi")
+    w = rows.where("as_w")
     v = v.select("lead", "x", F.col("line").alias("a"), F.col("d").alias("d_a"), F.col("own").alias("own_a"))
     w = w.select("lead", "x", F.col("line").alias("b"), F.col("d").alias("d_b"), F.col("own").alias("own_b"))
     shared = v.join(w, ["lead", "x"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r + MARGIN))
-    return shared.where(F.least("own_a", "own_b") >= (1 - r) * F.greatest("own_a", "own_b") - MARGIN).select("a", "b")
+    shared = shared.where(F.least("own_a", "own_b") >= (1 - r) * F.greatest("own_a", "own_b") - MARGIN)
+    return scratch.keep(shared.select("a", "b").distinct(), f"{name}-pairs")
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -146,7 +152,7 @@ def _components(members: DataFrame, distinct: DataFrame, texts: DataFrame, simil
     parts = scratch.keep(connected_components(links, scratch), "parts0")
     pairs = rest.select("band", F.col("line").alias("a")).join(rest.select("band", F.col("line").alias("b")), "band").where("a < b").select("a", "b")
     for k, tried in enumerate(crosses):
-        pairs = pairs.unionByName(_partners(tried, texts, r, scratch, f"changed{k}"))
+        pairs = pairs.unionByName(_partners(tried, texts, parts, r, scratch, f"changed{k}"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.keep(_distances(_apart(pairs, parts), texts, r), "more").where(F.col("d") <= r + MARGIN)
     if more.isEmpty():
@@ -204,8 +210,8 @@ def without_repeats(docs: DataFrame, similarity: float = 0.8, least: int = 20) -
     Documents of which no line but blank and very short ones is left, though something was removed, are left out. Documents that lose nothing stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = line_classes(docs, similarity, least).where("not kept").groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__gone"))
-    gone = scratch.keep(gone, "gone")
+    verdicts = scratch.keep(line_classes(docs, similarity, least).where("not kept").select("doc_id", "line_no"), "verdicts")
+    gone = scratch.keep(verdicts.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__gone")), "gone")
     rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     rows = rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
