@@ -31,10 +31,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     in a sort-merge join, which Spark splits where one key is large.
     """
     edges = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    now, seen, last = scratch.keep(edges, "cc0"), None, "cc0"
+    now, seen, last = scratch.keep(edges, "cc0", small=True), None, "cc0"
     for k in range(1, most_rounds + 1):
         name = f"cc{k}"
-        now = scratch.keep(_small_star(_large_star(now)), name)
+        now = scratch.keep(_small_star(_large_star(now)), name, small=True)
         scratch.drop(last)
         last = name
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())

@@ -97,7 +97,7 @@ def _partners(tried: DataFrame, texts: DataFrame, parts: DataFrame, r: float, sc
     s >= |D(v)| - q (|A(v)| + |A(w)|) as well. Two sets that share s elements share one among the |D| - s + 1 rarest of each; only these are joined.
     """
     between = _apart(tried.where((F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN)).select("a", "b"), parts)
-    between = scratch.keep(between, f"{name}-between")
+    between = scratch.keep(between, f"{name}-between", small=True)
     rows = _with_texts(tried.join(between.select("b").distinct(), "b", "left_semi"), texts).withColumn("mine", _shingle_set("norm_a")).withColumn("its", _shingle_set("norm_b"))
     more = F.transform(F.array_except("mine", "its"), lambda x: F.xxhash64(F.lit(1), x))
     less = F.transform(F.array_except("its", "mine"), lambda x: F.xxhash64(F.lit(0), x))
@@ -110,7 +110,7 @@ def _partners(tried: DataFrame, texts: DataFrame, parts: DataFrame, r: float, sc
     least_w = F.greatest(F.ceil((F.col("n") + q * (F.col("its") - F.col("own"))) / 2 - MARGIN), F.lit(1))
     # A difference that one line alone has joins nothing.
     rows = rows.where("count > 1").select("lead", "line", "d", "own", "x", (F.col("place") <= F.col("n") - least_v + 1).alias("as_v"), (F.col("place") <= F.col("n") - least_w + 1).alias("as_w")).where("as_v or as_w")
-    rows = scratch.keep(rows, f"{name}-ranked")
+    rows = scratch.keep(rows, f"{name}-ranked", small=True)
     scratch.drop(name)
     v = rows.where("as_v").join(between.select(F.col("a").alias("line"), F.col("b").alias("lead")), ["line", "lead"], "left_semi")
     w = rows.where("as_w")
@@ -118,7 +118,7 @@ def _partners(tried: DataFrame, texts: DataFrame, parts: DataFrame, r: float, sc
     w = w.select("lead", "x", F.col("line").alias("b"), F.col("d").alias("d_b"), F.col("own").alias("own_b"))
     shared = v.join(w, ["lead", "x"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r + MARGIN))
     shared = shared.where(F.least("own_a", "own_b") >= (1 - r) * F.greatest("own_a", "own_b") - MARGIN)
-    return scratch.keep(shared.select("a", "b").distinct(), f"{name}-pairs")
+    return scratch.keep(shared.select("a", "b").distinct(), f"{name}-pairs", small=True)
 
 
 def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -141,20 +141,20 @@ def _components(members: DataFrame, distinct: DataFrame, texts: DataFrame, simil
     stars, crosses, left = [], [], members
     for k in range(ROUNDS):
         leads = left.join(distinct.select("line", "n"), "line").groupBy("band").agg(F.min_by("line", F.struct(-F.col("n"), F.col("line"))).alias("lead"), F.count("*").alias("size"))
-        led = scratch.keep(left.join(leads.where("size > 1"), "band").where("line <> lead").select("band", "line", "lead"), f"led{k}")
-        tried = scratch.keep(_distances(led.select(F.col("line").alias("a"), F.col("lead").alias("b")).distinct(), texts, 3 * r), f"tried{k}")
+        led = scratch.keep(left.join(leads.where("size > 1"), "band").where("line <> lead").select("band", "line", "lead"), f"led{k}", small=True)
+        tried = scratch.keep(_distances(led.select(F.col("line").alias("a"), F.col("lead").alias("b")).distinct(), texts, 3 * r), f"tried{k}", small=True)
         stars.append(tried.where(F.col("d") <= r + MARGIN).select(F.col("a").alias("src"), F.col("b").alias("dst")))
         crosses.append(tried.where((F.col("d") > 0) & (F.col("d") <= 3 * r + MARGIN)))
         far = tried.where(F.col("d") > 2 * r + MARGIN).select(F.col("a").alias("line"), F.col("b").alias("lead"))
         left = led.join(far, ["line", "lead"], "left_semi").select("band", "line")
-    rest = scratch.keep(left, "rest")
+    rest = scratch.keep(left, "rest", small=True)
     links = _all(stars)
-    parts = scratch.keep(connected_components(links, scratch), "parts0")
+    parts = scratch.keep(connected_components(links, scratch), "parts0", small=True)
     pairs = rest.select("band", F.col("line").alias("a")).join(rest.select("band", F.col("line").alias("b")), "band").where("a < b").select("a", "b")
     for k, tried in enumerate(crosses):
         pairs = pairs.unionByName(_partners(tried, texts, parts, r, scratch, f"changed{k}"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.keep(_distances(_apart(pairs, parts), texts, r), "more").where(F.col("d") <= r + MARGIN)
+    more = scratch.keep(_distances(_apart(pairs, parts), texts, r), "more", small=True).where(F.col("d") <= r + MARGIN)
     if more.isEmpty():
         return parts
     return connected_components(links.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), scratch)
@@ -182,20 +182,20 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = scratch.keep(_lines(docs, least).select("doc_id", "line_no", "line"), "lines")
-    distinct = scratch.keep(lines.where("line is not null").groupBy("line").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n")), "distinct")
+    distinct = scratch.keep(lines.where("line is not null").groupBy("line").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n")), "distinct", small=True)
     bucket = Window.partitionBy("band")
     members = _bands(_lines(docs, least)).withColumn("size", F.count("*").over(bucket)).where("size > 1").select("band", "line")
-    members = scratch.keep(members, "members")
+    members = scratch.keep(members, "members", small=True)
     # Texts of the lines in these buckets, from the document that has each first.
-    wanted = scratch.keep(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), "wanted")
+    wanted = scratch.keep(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), "wanted", small=True)
     few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     rows = _lines(docs, least).where("line is not null").join(F.broadcast(wanted) if few else wanted, "line").where("doc_id <=> of")
-    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")).withColumn("size", F.size(_shingle_set("norm"))), "texts")
+    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")).withColumn("size", F.size(_shingle_set("norm"))), "texts", small=True)
     parts = _components(members, distinct, texts, similarity, scratch)
     of = distinct.join(parts, distinct["line"] == parts["node"], "left").select("line", "min_doc", "n", F.coalesce("component", "line").alias("class_id"))
-    of = scratch.keep(of, "classes")
+    of = scratch.keep(of, "classes", small=True)
     heads = of.groupBy("class_id").agg(F.min("min_doc").alias("head"), F.sum("n").alias("total"))
-    of = scratch.keep(of.select("line", "class_id").join(heads, "class_id"), "heads")
+    of = scratch.keep(of.select("line", "class_id").join(heads, "class_id"), "heads", small=True)
     found = lines.where("line is not null").join(of, "line")
     first = F.min("line_no").over(Window.partitionBy("doc_id", "class_id"))
     inside = found.where("total > 1 and doc_id <=> head").withColumn("kept", F.col("line_no") == first).select("doc_id", "line_no", "class_id", "kept")
@@ -210,8 +210,8 @@ def without_repeats(docs: DataFrame, similarity: float = 0.8, least: int = 20) -
     Documents of which no line but blank and very short ones is left, though something was removed, are left out. Documents that lose nothing stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    verdicts = scratch.keep(line_classes(docs, similarity, least).where("not kept").select("doc_id", "line_no"), "verdicts")
-    gone = scratch.keep(verdicts.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__gone")), "gone")
+    verdicts = scratch.keep(line_classes(docs, similarity, least).where("not kept").select("doc_id", "line_no"), "verdicts", small=True)
+    gone = scratch.keep(verdicts.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__gone")), "gone", small=True)
     rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     rows = rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))

@@ -35,7 +35,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """Writes ``df``; ``small`` deals its rows anew into as few files as their bytes need, where the work before has many tasks and few rows."""
+        df = df.hint("rebalance") if small else df
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(FREE_SHUFFLES, "false")
         self.spark.conf.set(FREE_SHUFFLES, "true")  # what the write shuffled isn't read again once the table stands
