@@ -90,15 +90,23 @@ def _distances(pairs: DataFrame, texts: DataFrame, most: float) -> DataFrame:
 
 
 def _partners(tried: DataFrame, texts: DataFrame, parts: DataFrame, r: float, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b): for each line v with r < d(v) <= 2 r in ``tried`` (a: line, b: lead, d) that is in another component of ``parts`` than its lead, those lines of the lead that can be within r of it.
+    """(a, b): pairs of lines of one lead in ``tried`` (a: line, b: lead, d) that can be within r of each other, are in different components of ``parts`` and are not both more than 2 r from the lead.
+
+    One line of such a pair, v, is in another component than the lead, with d(v) > r. It is in between, d(v) <= 2 r, and looks for any line w; or it is farther, and looks for those in between
+    that are connected to the lead: they don't go on to the next round with it.
 
     Let D be a line's set of differences from the lead (shingles that one has and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s apart, s being the
     differences they share, and within r only if that is at most q (|A(v)| + |A(w)|), q = r / (2 - r). As |D(v)| > q (|A(v)| + |L|), they must share s >= (|D(w)| + q (|L| - |A(w)|)) / 2, and
     s >= |D(v)| - q (|A(v)| + |A(w)|) as well. Two sets that share s elements share one among the |D| - s + 1 rarest of each; only these are joined.
     """
-    between = _apart(tried.where((F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN)).select("a", "b"), parts)
-    between = scratch.keep(between, f"{name}-between", small=True)
-    rows = _with_texts(tried.join(between.select("b").distinct(), "b", "left_semi"), texts).withColumn("mine", _shingle_set("norm_a")).withColumn("its", _shingle_set("norm_b"))
+    between, far = (F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN), F.col("d") > 2 * r + MARGIN
+    tied = F.col("part_a") == F.col("part_b")
+    tagged = _with_parts(tried, parts)
+    leads = tagged.groupBy("b").agg(F.bool_or(between & ~tied).alias("near"), (F.bool_or(between & tied) & F.bool_or(far & ~tied)).alias("beyond")).where("near or beyond")
+    # Of leads that only farther lines look under, lines within r and connected ones beyond 2 r are nobody's w.
+    marks = tagged.join(leads, "b").where(F.col("near") | between | (far & ~tied)).select("a", "b", "d", F.col("part_a").alias("part"), (~tied & (between | (far & F.col("beyond")))).alias("loose"))
+    marks = scratch.keep(marks, f"{name}-marks", small=True)
+    rows = _with_texts(marks.select("a", "b", "d"), texts).withColumn("mine", _shingle_set("norm_a")).withColumn("its", _shingle_set("norm_b"))
     more = F.transform(F.array_except("mine", "its"), lambda x: F.xxhash64(F.lit(1), x))
     less = F.transform(F.array_except("its", "mine"), lambda x: F.xxhash64(F.lit(0), x))
     rows = rows.select(F.col("b").alias("lead"), F.col("a").alias("line"), "d", F.size("mine").alias("own"), F.size("its").alias("its"), F.concat(more, less).alias("xs"))
@@ -108,25 +116,30 @@ def _partners(tried: DataFrame, texts: DataFrame, parts: DataFrame, r: float, sc
     q = r / (2 - r)
     least_v = F.greatest(F.ceil(F.col("n") - q * F.col("own") * (1 + 1 / (1 - r)) - MARGIN), F.lit(1))
     least_w = F.greatest(F.ceil((F.col("n") + q * (F.col("its") - F.col("own"))) / 2 - MARGIN), F.lit(1))
-    # A difference that one line alone has joins nothing.
-    rows = rows.where("count > 1").select("lead", "line", "d", "own", "x", (F.col("place") <= F.col("n") - least_v + 1).alias("as_v"), (F.col("place") <= F.col("n") - least_w + 1).alias("as_w")).where("as_v or as_w")
+    # A difference that one line alone has joins nothing. Rows lie by lead and line here, so that the marks come to them.
+    rows = rows.where("count > 1").join(marks.select(F.col("b").alias("lead"), F.col("a").alias("line"), "part", "loose"), ["lead", "line"])
+    rows = rows.select("lead", "line", "part", "d", "own", "x", (F.col("loose") & (F.col("place") <= F.col("n") - least_v + 1)).alias("as_v"), (F.col("place") <= F.col("n") - least_w + 1).alias("as_w")).where("as_v or as_w")
     rows = scratch.keep(rows, f"{name}-ranked", small=True)
     scratch.drop(name)
-    v = rows.where("as_v").join(between.select(F.col("a").alias("line"), F.col("b").alias("lead")), ["line", "lead"], "left_semi")
-    w = rows.where("as_w")
-    v = v.select("lead", "x", F.col("line").alias("a"), F.col("d").alias("d_a"), F.col("own").alias("own_a"))
-    w = w.select("lead", "x", F.col("line").alias("b"), F.col("d").alias("d_b"), F.col("own").alias("own_b"))
-    shared = v.join(w, ["lead", "x"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r + MARGIN))
+    v, w = rows.where("as_v"), rows.where("as_w")
+    v = v.select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("d").alias("d_a"), F.col("own").alias("own_a"))
+    w = w.select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("d").alias("d_b"), F.col("own").alias("own_b"))
+    shared = v.join(w, ["lead", "x"]).where((F.col("part_a") != F.col("part_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r + MARGIN) & (F.least("d_a", "d_b") <= 2 * r + MARGIN))
     shared = shared.where(F.least("own_a", "own_b") >= (1 - r) * F.greatest("own_a", "own_b") - MARGIN)
     return scratch.keep(shared.select("a", "b").distinct(), f"{name}-pairs", small=True)
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) that known links do not connect yet."""
+def _with_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with part_a and part_b, the components of both; a line without links is its own."""
     of = parts.select(F.col("node"), "component")
     for x in ("a", "b"):
-        pairs = pairs.join(of.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")), x, "left")
-    return pairs.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+        pairs = pairs.join(of.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")), x, "left").withColumn(f"part_{x}", F.coalesce(f"part_{x}", x))
+    return pairs
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) that known links do not connect yet."""
+    return _with_parts(pairs, parts).where("part_a <> part_b").select("a", "b")
 
 
 def _components(members: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:

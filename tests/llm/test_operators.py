@@ -185,6 +185,22 @@ def test_lines(spark, docs, texts, odd, nothing):
     assert set(left[-3].asDict()) == set(SCHEMA.replace(",", "").split()[::2]) and left[-3]["text"] == texts[-3] and 67 not in left
 
 
+def test_lines_beyond_a_connected_line(spark):
+    """A chain lead - x - v - w: v is connected to the lead through another bucket, w is more than 2 r from it."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    base, other = letters(807), letters(300)
+    norms = {1: base} | {k: other[:n] + base[n:] for k, n in ((2, 60), (3, 135), (4, 206))}
+    sets = {k: {x[i : i + 8] for i in range(len(x) - 7)} for k, x in norms.items()}
+    d = lambda a, b: 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert max(d(1, 2), d(2, 3), d(3, 4)) <= 0.2 < d(1, 3) <= 0.4 < d(1, 4) <= 0.6 and d(2, 4) > 0.2
+    distinct = spark.createDataFrame([(k, k, 9 if k == 1 else 1) for k in norms], "line long, min_doc long, n long")
+    texts = spark.createDataFrame([(k, x, len(sets[k])) for k, x in norms.items()], "line long, norm string, size int")
+    members = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 1), (3, 3), (3, 4)], "band long, line long")
+    got = lines._components(members, distinct, texts, 0.8, Scratch(spark, "t")).collect()
+    assert {r["node"]: r["component"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 # ---- 4 ----
 
 
