@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one line kept of each class of near-equal lines; those of which nothing is left go."""
+    """Documents with one line kept of each class of near-equal lines; those that lose lines and have none but blank ones left go."""
     return lines.without_repeats(docs)
 
 

@@ -220,7 +220,7 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
 def without_repeats(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> DataFrame:
     """``docs`` with the kept lines only, joined by line feeds; n_chars, if it is a column, follows.
 
-    Documents of which no line but blank and very short ones is left, though something was removed, are left out. Documents that lose nothing stay as they are.
+    Documents of which no line but blank ones is left, though something was removed, are left out. Documents that lose nothing stay as they are.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     verdicts = scratch.keep(line_classes(docs, similarity, least).where("not kept").select("doc_id", "line_no"), "verdicts", small=True)
@@ -228,7 +228,7 @@ def without_repeats(docs: DataFrame, similarity: float = 0.8, least: int = 20) -
     rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     rows = rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    rows = rows.where(F.col("__gone").isNull() | F.exists("__left", lambda x: F.char_length(F.trim(x)) >= least))
+    rows = rows.where(F.col("__gone").isNull() | F.exists("__left", lambda x: x.rlike("\\S")))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:

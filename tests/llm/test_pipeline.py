@@ -55,3 +55,12 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder[0]).select("doc_id").distinct().collect()} <= set(folder[1]) - folder[2]
+
+
+def test_short_lines_outlive_a_shared_one(spark):
+    """A document of short unique lines loses the line that an earlier one has, and stays; one with only blank lines left goes."""
+    shared = "this long line of licence text stands in three of the documents"
+    rows = [(1, f"the first document has a long line of its own\n{shared}"), (2, f"roses\nviolets\n\n{shared}\nsugar"), (3, f"{shared}\n \n\t\r")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("roses\nviolets\n\nsugar", 20)}
