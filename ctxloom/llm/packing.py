@@ -7,6 +7,7 @@ final; the underfull ones become items of the next round, in which fewer tasks m
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from ctxloom.llm.tokens import ByteTokenizer
 
 PIECE = "struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>"
 ITEMS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]))
+#: Underfull bins that a merging task holds at most, about.
+MOST_BINS = 200_000
 BIN = f"size long, closed boolean, items array<{PIECE}>"
 
 
@@ -77,6 +80,15 @@ def _emit(bins: list[tuple[int, list]], capacity: int, slack: int, last: bool) -
     return pa.RecordBatch.from_arrays(columns, ["size", "closed", "items"])
 
 
+def _spare(sizes: list[int], closed: list[bool], most: int, seen: Counter) -> list[bool]:
+    """``closed``, and true for all bins beyond the first ``most`` of their size; ``seen`` counts the bins of each."""
+    out = []
+    for size, c in zip(sizes, closed, strict=True):
+        seen[size] += 1
+        out.append(c or seen[size] > most)
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, slack: int = 8, fan_in: int = 8, end_id: int = 0) -> DataFrame:
     """Packs every row of ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
@@ -85,6 +97,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, slack: int = 8,
     sequence_length. Sequences have no gaps. A bin with at most ``slack`` tokens free is final in the round that
     made it; each round has a ``fan_in``-th of the tasks of the one before. Rows that repeat are packed as often as
     they come, null doc_ids are kept, other columns are not read, an empty table gives no rows.
+    A merging task leaves at most one bin that is half full or less (two would have been one). Any later merge uses up one of these, so after t tasks t bins of a size are all
+    that can still be added to: each task closes what it has beyond that, and where too many are left for the next round, passes over fewer and fewer parts close the rest.
     A task holds the pieces of its own partition (five numbers each), never their texts or ids.
     """
     spark = docs.sparkSession
@@ -103,12 +117,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, slack: int = 8,
         if fit:
             yield _emit(best_fit(fit, capacity), capacity, slack, False)
 
-    def merge(last: bool):
+    def merge(last: bool, tasks: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [(s, i) for b in batches for s, i in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             bins = [(size, [tuple(x.values()) for part in parts for x in part]) for size, parts in best_fit(held, capacity)]
+            seen = Counter()
             for k in range(0, len(bins), 4096):
-                yield _emit(bins[k : k + 4096], capacity, slack, last)
+                b = _emit(bins[k : k + 4096], capacity, slack, last)
+                yield b.set_column(1, "closed", pa.array(_spare(b.column(0).to_pylist(), b.column(1).to_pylist(), tasks, seen), pa.bool_()))
+
+        return run
+
+    def thin(tasks: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = Counter()
+            for b in batches:
+                closed = _spare(b.column(0).to_pylist(), b.column(1).to_pylist(), tasks, seen)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(closed, pa.bool_()), b.column(2)], ["size", "closed", "items"])
 
         return run
 
@@ -116,13 +141,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, slack: int = 8,
     done, k = [now.where("closed")], 0
     tasks = max(1, now.rdd.getNumPartitions())
     left = now.where("not closed")
+    most = max(MOST_BINS, 2 * capacity)  # one part leaves tasks bins of a size: half of the tasks hold them, so that the tasks come down to one
     while True:
-        rows = left.count()
-        tasks = max(-(-tasks // fan_in), -(-rows // 200_000))
+        rows, parts = left.count(), tasks
+        while k and parts > 1 and rows > most * -(-tasks // fan_in):
+            parts = -(-parts // fan_in)
+            dealt = left.repartition(parts, F.xxhash64("items"))
+            now = scratch.keep(dealt.mapInArrow(thin(tasks), BIN), f"thin{k}-{parts}")
+            done.append(now.where("closed"))
+            left = now.where("not closed")
+            rows = left.count()
+        tasks = max(-(-tasks // fan_in), -(-rows // most))
         k += 1
         last = tasks == 1
         merged = left.repartition(tasks, F.xxhash64("items")) if tasks > 1 else left.coalesce(1)
-        now = scratch.keep(merged.mapInArrow(merge(last), BIN), f"round{k}")
+        now = scratch.keep(merged.mapInArrow(merge(last, tasks), BIN), f"round{k}")
         done.append(now.where("closed"))
         if last:
             break

@@ -155,6 +155,24 @@ def test_packing(docs, texts, odd, nothing):
     assert packing.pack(odd, PATH).count() == 5 and packing.pack(nothing, PATH).count() == 0
 
 
+def test_packing_of_bins_that_nothing_fills(spark, monkeypatch):
+    """More underfull bins than one task may hold, and no small pieces: rounds end, and the few pieces that fit are placed."""
+    rng = random.Random(6)
+    texts = {i: " ".join(["a"] * rng.randrange(34, 50)) for i in range(900)} | {1000 + i: " ".join(["a"] * 12) for i in range(5)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    keep, names = Scratch.keep, []
+
+    def counted(self, df, name, small=False):
+        names.append(name)
+        assert len(names) < 12, "rounds do not end"
+        return keep(self, df, name, small)
+
+    monkeypatch.setattr(packing, "MOST_BINS", 50)
+    monkeypatch.setattr(Scratch, "keep", counted)
+    used, _ = check_pack(packing.pack(df, PATH, capacity=64).collect(), texts, 64)
+    assert used == 900 and any(n.startswith("thin") for n in names)
+
+
 # ---- 3 ----
 
 
