@@ -22,26 +22,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("src", F.col("m").alias("dst"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each source has one edge, and no end is a source."""
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst: long); the component is its smallest node.
 
     No node, link or component reaches the driver: each round is two aggregates and joins, written to
-    ``scratch``, and only a count and a checksum come back to see whether the edges still change. Loops and
+    ``scratch``, and one more aggregate tells whether only stars are left. Loops and
     null ends are ignored, repeated links count once, an empty table gives an empty table. A hub's rows meet
     in a sort-merge join, which Spark splits where one key is large.
     """
     edges = edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    now, seen, last = scratch.keep(edges, "cc0", small=True), None, "cc0"
-    for k in range(1, most_rounds + 1):
-        name = f"cc{k}"
-        now = scratch.keep(_small_star(_large_star(now)), name, small=True)
+    now, last, k = scratch.keep(edges, "cc0", small=True), "cc0", 0
+    while not _settled(now):
+        k += 1
+        if k > most_rounds:
+            raise RuntimeError("components did not settle")
+        now = scratch.keep(_small_star(_large_star(now)), f"cc{k}", small=True)
         scratch.drop(last)
-        last = name
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
+        last = f"cc{k}"
     roots = now.select(F.col("dst").alias("node")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Lines are compared by their sets of character shingles. One hash of each shingle, dealt to bins by its low bits, gives a signature of least values;
+Lines are compared by their sets of character shingles. Hashes of the shingles, each held against fixed corners, give a signature of least values;
 bands of it find candidates, whole shingle sets verify them, and connected components keep one line each.
 """
 
@@ -10,18 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.llm.components import connected_components
-from ctxloom.llm.shared import Scratch, parallelism
+from ctxloom.llm.shared import Scratch, parallelism, unused
 
-SHINGLE, BINS, ROWS = 8, 32, 4
-#: Bins of a signature are kept in rows of so many: a shingle then touches the bins of its own row only.
+SHINGLE, ROWS = 8, 4
+#: Corners that a shingle is held against, out of four times as many: its hash's two high bits choose them.
 TOGETHER = 8
-#: In signatures of long lines a shingle takes part if so many low bits of its hash are clear; in those of short lines all do. Lines from LONG to SHORT
-#: characters have both signatures, so that lines of similar length share a kind.
-SAMPLE_BITS, LONG, SHORT = 2, 100, 160
-#: Rounds with a lead, and what rounding may do to a distance.
-ROUNDS, MARGIN = 3, 1e-9
-#: Lines that need a look (three numbers each) are broadcast up to this number, beyond it they are joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: A line of MANY words or more is signed by the shingles at its words' starts, one of fewer than FEW by all its shingles. Lines in between have both signatures, so that
+#: lines of similar length share a kind.
+MANY, FEW = 24, 32
+#: Words that a shingle at a word's start can reach into.
+REACH = 5
+#: Further rounds with a lead, and what rounding may do to a number of shingles.
+ROUNDS, MARGIN = 4, 1e-9
+#: In buckets of at most so many lines, those that leads leave apart are compared one by one: a line then meets no more than this less one.
+SMALL = 8
+#: Rows of two or three numbers are broadcast up to this number, beyond it they are joined by a shuffle.
+MOST_BROADCAST = 200_000
+#: Removed lines of a document that are broadcast; longer lists go by a shuffle.
+MOST_LINES = 100
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -31,153 +37,170 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return split.select("doc_id", "line_no", "norm", F.when(F.char_length("norm") >= least, F.xxhash64("norm")).alias("line"))
 
 
-def _shingle(wide: Column, i: Column) -> Column:
-    """Hash of the shingle at character i of a text in UTF-32, where characters have fixed places."""
-    return F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))
+def _signed(lines: DataFrame) -> DataFrame:
+    """Rows (line, n, min_doc, bands) of the distinct lines' signatures: a hash for each run of ROWS least values. The largest n of a line is how often it occurs, the least min_doc where first.
 
-
-def _places(text: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.char_length(text) - SHINGLE, F.lit(0)))
-
-
-def _bands(lines: DataFrame) -> DataFrame:
-    """(band, line) of the distinct lines' signatures: a value of (band, line) for each run of ROWS bins."""
-    size = F.char_length("norm")
-    kinds = F.when(size < LONG, F.array(F.lit(0))).when(size < SHORT, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    rows = lines.where("line is not null").select("line", F.encode("norm", "UTF-32").alias("wide"), _places(F.col("norm")).alias("places"), F.explode(kinds).alias("kind"))
-    # The wide text is made below the generator; in one select with it Spark would make it anew for every shingle.
-    rows = rows.select("line", "kind", "wide", F.explode("places").alias("i")).select("line", "kind", "i", _shingle(F.col("wide"), F.col("i")).alias("h"))
-    # In long lines shingles are sampled, the same ones in every line, by their hash.
-    rows = rows.where((F.col("kind") == 0) | (F.col("i") == 0) | (F.col("h").bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1).cast("long")) == 0))
-    rows = rows.select("line", "kind", F.shiftrightunsigned("h", SAMPLE_BITS).bitwiseAND(F.lit(BINS - 1).cast("long")).cast("int").alias("bin"), F.shiftrightunsigned("h", 36).cast("int").alias("v"))
-    rows = rows.select("line", (F.col("kind") * 64 + F.shiftright("bin", 3)).alias("part"), F.col("bin").bitwiseAND(F.lit(TOGETHER - 1)).alias("bin"), "v")
-    rows = rows.groupBy("line", "part").agg(*(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"m{b}") for b in range(TOGETHER)))
-    # A bin that no shingle fell into takes the value of the next one of its row that has any, told apart by the distance; steps of 1, 2, 4 reach all.
-    step = 1
-    while step < TOGETHER:
-        rows = rows.select("line", "part", *(F.coalesce(F.col(f"m{b}"), F.col(f"m{(b + step) % TOGETHER}") + step * 0x1003F).alias(f"m{b}") for b in range(TOGETHER)))
-        step *= 2
-    bands = [F.xxhash64("part", F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(TOGETHER // ROWS)]
-    return rows.select("line", F.explode(F.array(*bands)).alias("band"))
-
-
-def _shingle_set(text: str) -> Column:
-    """The distinct shingles of a normalised line, in one linear pass; a line shorter than one is its own."""
-    every = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.char_length(text) < SHINGLE, F.array(text)).otherwise(F.array_distinct(every))
+    The hash of a shingle, XORed with a corner, is its distance from that corner, and each corner keeps its least one. Corners differ in their high bits, so each looks at
+    shingles of its own where there are enough.
+    """
+    count = F.size(F.split("norm", " "))
+    kinds = F.when(count < MANY, F.array(F.lit(0))).when(count < FEW, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    words = F.when(count >= MANY, F.split("norm", " "))
+    # In UTF-32 characters have fixed places. Both forms are made below the generators; in one select with them Spark would make them anew for every shingle.
+    wide = F.when(count < FEW, F.encode("norm", "UTF-32"))
+    rows = lines.where("line is not null").select("doc_id", "line", words.alias("words"), wide.alias("wide"), (F.char_length("norm") - SHINGLE).alias("last"), F.explode(kinds).alias("kind"))
+    places = F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.greatest("last", F.lit(0))).otherwise(F.size("words") - 1))
+    rows = rows.select("doc_id", "line", "kind", "words", "wide", F.explode(places).alias("i"))
+    by_word = F.xxhash64(F.substring(F.concat_ws(" ", *(F.get("words", F.col("i") + k) for k in range(REACH))), 1, SHINGLE))
+    by_place = F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * SHINGLE)))
+    rows = rows.select("doc_id", "line", "kind", "i", F.shiftright(F.when(F.col("kind") == 0, by_place).otherwise(by_word), 32).cast("int").alias("h"))
+    # The two high bits say which corners a shingle is held against: each row of an aggregate has few columns then.
+    low = 27  # bits below those that tell the corners apart
+    corners = [(k * 0x9E3779B1 & ((1 << low) - 1)) | k << low for k in range(TOGETHER)]
+    part, inside = F.shiftrightunsigned("h", 30), F.col("h").bitwiseAND(F.lit((1 << 30) - 1))
+    rows = rows.select("doc_id", "line", "kind", "i", part.alias("part"), inside.alias("h"))
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(corners)]
+    rows = rows.groupBy("line", "kind", "part").agg(F.count(F.when(F.col("i") == 0, 1)).alias("n"), F.min("doc_id").alias("min_doc"), *least)
+    bands = F.array(*(F.xxhash64("kind", "part", F.lit(b), *(F.col(f"m{b * ROWS + k}") for k in range(ROWS))) for b in range(TOGETHER // ROWS)))
+    return rows.select("line", "n", "min_doc", bands.alias("bands"))
+
+
+def _shingle_set(text: Column) -> Column:
+    """Hashes of the distinct shingles of a normalised line; a line shorter than one is its own."""
+    last = F.greatest(F.char_length(text) - SHINGLE, F.lit(0))
+    every = F.transform(F.array(F.encode(text, "UTF-32")), lambda wide: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))))
+    return F.array_distinct(F.get(every, F.lit(0)))
+
+
+def _with_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``mine`` and ``its``, the shingle sets of a and b; those of the b's, which are fewer, are made once each."""
+    pairs = pairs.join(texts.select(F.col("line").alias("a"), "norm"), "a")
+    of = pairs.select("b").distinct().join(texts.select(F.col("line").alias("b"), F.col("norm").alias("text")), "b").select("b", _shingle_set(F.col("text")).alias("its"))
+    return pairs.join(of, "b").withColumn("mine", _shingle_set(F.col("norm"))).drop("norm")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, alike): whether the exact Jaccard likeness of each pair's shingle sets is ``similarity`` or more."""
+    dealt = pairs.repartition(parallelism(pairs.sparkSession), "a")  # the work of a pair is large for its bytes
+    rows = _with_sets(dealt, texts).withColumn("common", F.size(F.array_intersect("mine", "its")))
+    return rows.select("a", "b", (F.col("common") >= similarity * (F.size("mine") + F.size("its") - F.col("common")) - MARGIN).alias("alike"))
+
+
+def _few(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``rows``, written; with a broadcast hint while they are few."""
+    rows = scratch.keep(rows, name, small=True)
+    return F.broadcast(rows) if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rows
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with part_a and part_b, the components of both; a line without links is its own."""
+    of = parts.select(F.col("node"), "component")
     for x in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("line").alias(x), F.col("norm").alias(f"norm_{x}")), x)
-    return pairs.repartition(parallelism(pairs.sparkSession), "a", "b")  # the work of a pair is large for its bytes
+        pairs = pairs.join(of.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")), x, "left").withColumn(f"part_{x}", F.coalesce(f"part_{x}", x))
+    return pairs
 
 
-def _distances(pairs: DataFrame, texts: DataFrame, most: float) -> DataFrame:
-    """``pairs`` (a, b) with d, the exact Jaccard distance of the lines' shingle sets, where it can be ``most`` or less.
+class _Parts:
+    """Components that grow: links join components, of which only those that change are looked at."""
 
-    Where the sizes of the sets alone make it larger, the texts are not looked at and d is the least that the sizes allow.
-    """
-    sized = pairs
-    for x in ("a", "b"):
-        sized = sized.join(texts.select(F.col("line").alias(x), F.col("size").alias(f"size_{x}")), x)
-    sized = sized.withColumn("least", 1 - F.least("size_a", "size_b") / F.greatest("size_a", "size_b"))
-    far = sized.where(F.col("least") > most + MARGIN).select("a", "b", F.col("least").alias("d"))
-    near = _with_texts(sized.where(F.col("least") <= most + MARGIN).drop("least"), texts)
-    # Used twice below, so that Spark makes the intersection once.
-    near = near.withColumn("common", F.size(F.array_intersect(_shingle_set("norm_a"), _shingle_set("norm_b"))))
-    return near.select("a", "b", (1 - F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("d")).unionByName(far)
+    def __init__(self, spark, scratch: Scratch):
+        self.scratch, self.k = scratch, 0
+        self.now = spark.createDataFrame([], "node long, component long")
 
+    def add(self, pairs: DataFrame) -> bool:
+        """Joins what ``pairs`` (a, b) link; false if they link nothing new."""
+        links = self.scratch.keep(_with_parts(pairs, self.now).where("part_a <> part_b").select(F.col("part_a").alias("src"), F.col("part_b").alias("dst")).distinct(), f"links{self.k}", small=True)
+        if links.isEmpty():
+            return False
+        moved = connected_components(links, self.scratch).withColumnRenamed("component", "to")
+        old = self.now.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        fresh = moved.join(self.now, "node", "left_anti").select("node", F.col("to").alias("component"))
+        self.now = self.scratch.keep(old.unionByName(fresh), f"parts{self.k}", small=True)
+        self.scratch.drop(f"links{self.k}", *([f"parts{self.k - 1}"] if self.k else []))
+        self.k += 1
+        return True
 
-def _partners(tried: DataFrame, texts: DataFrame, parts: DataFrame, r: float, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b): pairs of lines of one lead in ``tried`` (a: line, b: lead, d) that can be within r of each other, are in different components of ``parts`` and are not both more than 2 r from the lead.
 
-    One line of such a pair, v, is in another component than the lead, with d(v) > r. It is in between, d(v) <= 2 r, and looks for any line w; or it is farther, and looks for those in between
-    that are connected to the lead: they don't go on to the next round with it.
+def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of lines of one lead in ``groups`` (a: line, b: lead, part_a, part_b) that can be alike and are in different components.
 
-    Let D be a line's set of differences from the lead (shingles that one has and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s apart, s being the
-    differences they share, and within r only if that is at most q (|A(v)| + |A(w)|), q = r / (2 - r). As |D(v)| > q (|A(v)| + |L|), they must share s >= (|D(w)| + q (|L| - |A(w)|)) / 2, and
-    s >= |D(v)| - q (|A(v)| + |A(w)|) as well. Two sets that share s elements share one among the |D| - s + 1 rarest of each; only these are joined.
+    One line of such a pair, v, is loose: in another component than the lead, and so more than r = 1 - ``similarity`` from it. Let D be a line's set of differences from the lead (shingles that one has
+    and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s differences apart, s being those they share, and within r only if that is at most q (|A(v)| + |A(w)|),
+    q = r / (2 - r). As |D(v)| > q (|A(v)| + |L|), they must share s >= (|D(w)| + q (|L| - |A(w)|)) / 2, and s >= |D(v)| - q (|A(v)| + |A(w)|) as well. Two sets that share s elements share one
+    among the first |D| - s + 1 of each in any one order; here the order is by the number of loose lines that have the difference. Those that none has stand first and join nothing, so they are counted, not sent.
     """
-    between, far = (F.col("d") > r + MARGIN) & (F.col("d") <= 2 * r + MARGIN), F.col("d") > 2 * r + MARGIN
-    tied = F.col("part_a") == F.col("part_b")
-    tagged = _with_parts(tried, parts)
-    leads = tagged.groupBy("b").agg(F.bool_or(between & ~tied).alias("near"), (F.bool_or(between & tied) & F.bool_or(far & ~tied)).alias("beyond")).where("near or beyond")
-    # Of leads that only farther lines look under, lines within r and connected ones beyond 2 r are nobody's w.
-    marks = tagged.join(leads, "b").where(F.col("near") | between | (far & ~tied)).select("a", "b", "d", F.col("part_a").alias("part"), (~tied & (between | (far & F.col("beyond")))).alias("loose"))
-    marks = scratch.keep(marks, f"{name}-marks", small=True)
-    rows = _with_texts(marks.select("a", "b", "d"), texts).withColumn("mine", _shingle_set("norm_a")).withColumn("its", _shingle_set("norm_b"))
-    more = F.transform(F.array_except("mine", "its"), lambda x: F.xxhash64(F.lit(1), x))
-    less = F.transform(F.array_except("its", "mine"), lambda x: F.xxhash64(F.lit(0), x))
-    rows = rows.select(F.col("b").alias("lead"), F.col("a").alias("line"), "d", F.size("mine").alias("own"), F.size("its").alias("its"), F.concat(more, less).alias("xs"))
-    rows = scratch.keep(rows.withColumn("n", F.size("xs")).select("lead", "line", "d", "own", "its", "n", F.explode("xs").alias("x")), name)
-    order = Window.partitionBy("lead", "line").orderBy("count", "x")
-    rows = rows.withColumn("count", F.count("*").over(Window.partitionBy("lead", "x"))).withColumn("place", F.row_number().over(order))
+    r = 1 - similarity
     q = r / (2 - r)
+
+    def differences(of: DataFrame) -> DataFrame:
+        rows = _with_sets(of, texts)
+        # A difference that the lead has is told from one that the line has by its inverted bits.
+        xs = F.concat(F.array_except("mine", "its"), F.transform(F.array_except("its", "mine"), lambda x: F.bitwise_not(x)))
+        rows = rows.select(F.col("b").alias("lead"), F.col("a").alias("line"), F.col("part_a").alias("part"), F.size("mine").alias("own"), F.size("its").alias("its"), xs.alias("xs"))
+        return rows.select("lead", "line", "part", "own", "its", F.size("xs").alias("n"), F.explode("xs").alias("x"))
+
+    loose = scratch.keep(differences(groups.where("part_a <> part_b")), "loose", small=True)
+    counts = _few(loose.groupBy("lead", "x").agg(F.count("*").alias("count")), scratch, "counts")
+    each = Window.partitionBy("lead", "line")
+    place = F.row_number().over(each.orderBy("count", "x"))
     least_v = F.greatest(F.ceil(F.col("n") - q * F.col("own") * (1 + 1 / (1 - r)) - MARGIN), F.lit(1))
     least_w = F.greatest(F.ceil((F.col("n") + q * (F.col("its") - F.col("own"))) / 2 - MARGIN), F.lit(1))
-    # A difference that one line alone has joins nothing. Rows lie by lead and line here, so that the marks come to them.
-    rows = rows.where("count > 1").join(marks.select(F.col("b").alias("lead"), F.col("a").alias("line"), "part", "loose"), ["lead", "line"])
-    rows = rows.select("lead", "line", "part", "d", "own", "x", (F.col("loose") & (F.col("place") <= F.col("n") - least_v + 1)).alias("as_v"), (F.col("place") <= F.col("n") - least_w + 1).alias("as_w")).where("as_v or as_w")
-    rows = scratch.keep(rows, f"{name}-ranked", small=True)
-    scratch.drop(name)
-    v, w = rows.where("as_v"), rows.where("as_w")
-    v = v.select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("d").alias("d_a"), F.col("own").alias("own_a"))
-    w = w.select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("d").alias("d_b"), F.col("own").alias("own_b"))
-    shared = v.join(w, ["lead", "x"]).where((F.col("part_a") != F.col("part_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= r + MARGIN) & (F.least("d_a", "d_b") <= 2 * r + MARGIN))
-    shared = shared.where(F.least("own_a", "own_b") >= (1 - r) * F.greatest("own_a", "own_b") - MARGIN)
-    return scratch.keep(shared.select("a", "b").distinct(), f"{name}-pairs", small=True)
-
-
-def _with_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with part_a and part_b, the components of both; a line without links is its own."""
-    of = parts.select(F.col("node"), "component")
-    for x in ("a", "b"):
-        pairs = pairs.join(of.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")), x, "left").withColumn(f"part_{x}", F.coalesce(f"part_{x}", x))
-    return pairs
-
-
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) that known links do not connect yet."""
-    return _with_parts(pairs, parts).where("part_a <> part_b").select("a", "b")
+    v = loose.join(counts, ["lead", "x"]).withColumn("place", place).where(F.col("place") <= F.col("n") - least_v + 1)
+    w = differences(groups).join(counts, ["lead", "x"]).withColumn("place", place).withColumn("met", F.count("*").over(each)).where(F.col("place") <= F.col("met") - least_w + 1)
+    v = v.select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"))
+    w = scratch.keep(w.select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b")), "seen", small=True)
+    shared = v.join(w, ["lead", "x"]).where("part_a <> part_b").where(F.least("own_a", "own_b") >= similarity * F.greatest("own_a", "own_b") - MARGIN)
+    shared = shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return scratch.keep(shared, "shared", small=True)
 
 
-def _components(members: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(node, component) over lines that share a bucket of ``members`` (band, line) and are ``similarity`` alike.
+def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, component) over lines that share a bucket of ``members`` (band, line, n) and are ``similarity`` alike.
 
-    In each round the most frequent line leads a bucket and all others are held against it. With r = 1 - similarity, lines within r of the lead are linked; lines at more than
-    2 r go on to the next round among themselves, those left after ROUNDS rounds meet each other. A line v in between, r < d(v) <= 2 r, can be alike to another line w of the
-    bucket only if (Jaccard distance being a metric) d(v) and d(w) differ by no more than r, and if v and w share enough differences from the lead (see ``_partners``). Pairs that links connect already are passed over.
-    So every pair of a bucket is verified, ruled out, or connected.
+    The most frequent line leads a bucket. Each line is held against its most frequent lead first and, where that leaves them apart, against the leads of its other buckets. What is apart from a bucket's lead
+    chooses a new lead among itself, ROUNDS times. Two lines of a bucket that are still in different components are compared if the bucket is small; in a larger one they can only be alike if they
+    share enough of their differences from the first lead (see ``_partners``), and these are compared. So every pair of a bucket is verified, ruled out, or connected, and links of one family cost comparisons in proportion to its lines.
     """
-    r = 1 - similarity
-    stars, crosses, left = [], [], members
+    parts = _Parts(members.sparkSession, scratch)
+    bucket = Window.partitionBy("band")
+    top = F.max(F.struct("n", (-F.col("line")).alias("at"))).over(bucket)
+    size = F.count("*").over(bucket)
+    led = members.withColumn("top", top).withColumn("size", size).select("band", "n", "size", F.col("line").alias("a"), (-F.col("top.at")).alias("b"), F.col("top.n").alias("of")).where("a <> b")
+    led = scratch.keep(led, "led", small=True)
+
+    def hold(pairs: DataFrame, name: str) -> bool:
+        pairs = scratch.keep(pairs, f"{name}-pairs", small=True)
+        some = not pairs.isEmpty()
+        if some:
+            parts.add(scratch.keep(_alike(pairs, texts, similarity), name, small=True).where("alike"))
+        scratch.drop(f"{name}-pairs", name)
+        return some
+
+    def apart(rows: DataFrame) -> DataFrame:
+        return _with_parts(rows, parts.now).where("part_a <> part_b").drop("part_a", "part_b")
+
+    if not hold(led.groupBy("a").agg(F.max_by("b", F.struct("of", (-F.col("b")).alias("at"))).alias("b")), "first"):
+        return parts.now
+    hold(apart(led.select("a", "b").distinct()), "others")
+    left = apart(led)
     for k in range(ROUNDS):
-        leads = left.join(distinct.select("line", "n"), "line").groupBy("band").agg(F.min_by("line", F.struct(-F.col("n"), F.col("line"))).alias("lead"), F.count("*").alias("size"))
-        led = scratch.keep(left.join(leads.where("size > 1"), "band").where("line <> lead").select("band", "line", "lead"), f"led{k}", small=True)
-        tried = scratch.keep(_distances(led.select(F.col("line").alias("a"), F.col("lead").alias("b")).distinct(), texts, 3 * r), f"tried{k}", small=True)
-        stars.append(tried.where(F.col("d") <= r + MARGIN).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        crosses.append(tried.where((F.col("d") > 0) & (F.col("d") <= 3 * r + MARGIN)))
-        far = tried.where(F.col("d") > 2 * r + MARGIN).select(F.col("a").alias("line"), F.col("b").alias("lead"))
-        left = led.join(far, ["line", "lead"], "left_semi").select("band", "line")
-    rest = scratch.keep(left, "rest", small=True)
-    links = _all(stars)
-    parts = scratch.keep(connected_components(links, scratch), "parts0", small=True)
-    pairs = rest.select("band", F.col("line").alias("a")).join(rest.select("band", F.col("line").alias("b")), "band").where("a < b").select("a", "b")
-    for k, tried in enumerate(crosses):
-        pairs = pairs.unionByName(_partners(tried, texts, parts, r, scratch, f"changed{k}"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.keep(_distances(_apart(pairs, parts), texts, r), "more", small=True).where(F.col("d") <= r + MARGIN)
-    if more.isEmpty():
-        return parts
-    return connected_components(links.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), scratch)
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+        left = scratch.keep(left.select("band", "n", F.col("a").alias("line")), f"left{k}", small=True)
+        again = left.withColumn("top", top).select("band", "n", F.col("line").alias("a"), (-F.col("top.at")).alias("b")).where("a <> b")
+        if not hold(apart(again.select("a", "b").distinct()), f"again{k}"):
+            break
+        left = apart(again)
+        if k:
+            scratch.drop(f"left{k - 1}")
+    small = _with_parts(led.where(F.col("size") <= SMALL).select("band", "a", "b"), parts.now).select("band", F.col("a").alias("line"), F.col("part_a").alias("part"))
+    small = scratch.keep(small, "small", small=True)
+    few = small.select("band", F.col("line").alias("a"), F.col("part").alias("p")).join(small.withColumnRenamed("line", "b"), "band").where("a < b and p <> part")
+    hold(few.select("a", "b").distinct(), "few")
+    groups = _with_parts(led.where(F.col("size") > SMALL).select("a", "b").distinct(), parts.now)
+    mixed = groups.groupBy("b").agg(F.min("part_a").alias("low"), F.max("part_a").alias("high")).where("low <> high").select("b")
+    groups = scratch.keep(groups.join(mixed, "b", "left_semi"), "groups", small=True)
+    if not groups.isEmpty():
+        hold(apart(_partners(groups, texts, similarity, scratch)), "shared-kept")
+    return parts.now
 
 
 def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> DataFrame:
@@ -189,26 +212,29 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     one empty line. A null doc_id counts as larger than all; rows that share a doc_id lose what the first of equal lines has, one of equal
     (doc_id, line_no) rows included: both have the same verdict. Other columns are not read, an empty table gives no rows.
 
-    Lines are told apart by 64-bit hashes of their normalised texts. Candidates share a band: at a likeness of 0.8 about 98 of 100 pairs do, at 0.9 all but one in 10,000. Within a bucket every pair
-    that can be alike is verified or follows from the metric (see ``_components``). Equal lines are one entry from the first aggregate on, however many there are.
+    Lines and shingles are told apart by 64-bit hashes of their normalised texts. Candidates share a band (see the tests for the share of pairs that do, by length). Within a bucket every pair
+    that can be alike is verified, connected already or ruled out by a bound (see ``_components``). Equal lines are one entry from the first aggregate on, however many there are.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = scratch.keep(_lines(docs, least).select("doc_id", "line_no", "line"), "lines")
-    distinct = scratch.keep(lines.where("line is not null").groupBy("line").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("n")), "distinct", small=True)
-    bucket = Window.partitionBy("band")
-    members = _bands(_lines(docs, least)).withColumn("size", F.count("*").over(bucket)).where("size > 1").select("band", "line")
-    members = scratch.keep(members, "members", small=True)
+    signed = scratch.keep(_signed(_lines(docs, least)), "signed", small=True)
+    # The row that holds a line's first shingle has counted its occurrences.
+    distinct = scratch.keep(signed.groupBy("line").agg(F.max("n").alias("n"), F.min("min_doc").alias("min_doc")), "distinct", small=True)
+    crowd = F.count("*").over(Window.partitionBy("band"))
+    members = signed.select("line", F.explode("bands").alias("band")).withColumn("size", crowd).where("size > 1").select("band", "line")
+    members = scratch.keep(members.join(distinct.select("line", "n"), "line").select("band", "line", "n"), "members", small=True)
+    scratch.drop("signed")
     # Texts of the lines in these buckets, from the document that has each first.
-    wanted = scratch.keep(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), "wanted", small=True)
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = _lines(docs, least).where("line is not null").join(F.broadcast(wanted) if few else wanted, "line").where("doc_id <=> of")
-    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")).withColumn("size", F.size(_shingle_set("norm"))), "texts", small=True)
-    parts = _components(members, distinct, texts, similarity, scratch)
+    wanted = _few(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), scratch, "wanted")
+    rows = _lines(docs, least).where("line is not null").join(wanted, "line").where("doc_id <=> of")
+    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")), "texts", small=True)
+    parts = _components(members, texts, similarity, scratch)
     of = distinct.join(parts, distinct["line"] == parts["node"], "left").select("line", "min_doc", "n", F.coalesce("component", "line").alias("class_id"))
     of = scratch.keep(of, "classes", small=True)
     heads = of.groupBy("class_id").agg(F.min("min_doc").alias("head"), F.sum("n").alias("total"))
     of = scratch.keep(of.select("line", "class_id").join(heads, "class_id"), "heads", small=True)
+    scratch.drop("distinct", "members", "wanted", "texts", "led", "small", "groups", "loose", "counts", "seen", "shared", "classes")
     found = lines.where("line is not null").join(of, "line")
     first = F.min("line_no").over(Window.partitionBy("doc_id", "class_id"))
     inside = found.where("total > 1 and doc_id <=> head").withColumn("kept", F.col("line_no") == first).select("doc_id", "line_no", "class_id", "kept")
@@ -220,17 +246,18 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
 def without_repeats(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> DataFrame:
     """``docs`` with the kept lines only, joined by line feeds; n_chars, if it is a column, follows.
 
-    Documents of which no line but blank ones is left, though something was removed, are left out. Documents that lose nothing stay as they are.
+    Documents of which no line but blank ones is left, though something was removed, are left out. Documents that lose nothing stay as they are, a null text among them.
+    Rows that share a doc_id, null included, lose the lines that a verdict on any of them names. All columns come through, whatever their names; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    verdicts = scratch.keep(line_classes(docs, similarity, least).where("not kept").select("doc_id", "line_no"), "verdicts", small=True)
-    gone = scratch.keep(verdicts.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__gone")), "gone", small=True)
-    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left")
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
-    rows = rows.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    rows = rows.where(F.col("__gone").isNull() | F.exists("__left", lambda x: x.rlike("\\S")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n"))
-    rows = rows.withColumn("text", text)
+    verdicts = line_classes(docs, similarity, least).where("not kept").select("doc_id", "line_no").distinct()
+    of, gone, left = unused(docs, "of"), unused(docs, "gone"), unused(docs, "left")
+    removed = scratch.keep(verdicts.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("line_no").alias(gone)), "removed", small=True)
+    few = removed.limit(MOST_BROADCAST // 4 + 1).count() <= MOST_BROADCAST // 4 and not removed.where(F.size(gone) > MOST_LINES).limit(1).count()
+    rows = docs.join(F.broadcast(removed) if few else removed, F.col("doc_id").cast("long").eqNullSafe(F.col(of)), "left")
+    rows = rows.withColumn(left, F.when(F.col(gone).isNotNull(), F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))))
+    rows = rows.where(F.col(gone).isNull() | F.exists(left, lambda x: x.rlike("\\S")))
+    rows = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +15,41 @@ BLANK = "[\\x20\\x09-\\x0D]+"
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Scratch objects made inside each open ``temporary`` block.
+_MADE: list[list[Scratch]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary folder takes its place.
+    Spark takes that setting only when a session starts. A session without it has no folder that is known to be shared, so this raises an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.gettempdir()}/ctxloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share when the session is built; operators write their intermediate tables there")
     return folder.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in any case."""
+    known = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in known:
+        name += "_"
+    return name
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Removes the tables that operators write inside the block once it ends: whatever reads them must be written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for scratch in _MADE.pop():
+            scratch.drop("")
+
+
 class Scratch:
     """Tables written into the shared folder: they cut lineage and outlive lost executors.
 
@@ -34,6 +58,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if _MADE:
+            _MADE[-1].append(self)
 
     def keep(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
         """Writes ``df``; ``small`` deals its rows anew into as few files as their bytes need, where the work before has many tasks and few rows."""
@@ -50,7 +76,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

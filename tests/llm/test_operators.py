@@ -203,7 +203,8 @@ def test_lines(spark, docs, texts, odd, nothing):
     assert set(left[-3].asDict()) == set(SCHEMA.replace(",", "").split()[::2]) and left[-3]["text"] == texts[-3] and 67 not in left
 
 
-def test_lines_beyond_a_connected_line(spark):
+@pytest.mark.parametrize("small", [0, 8])
+def test_lines_beyond_a_connected_line(spark, monkeypatch, small):
     """A chain lead - x - v - w: v is connected to the lead through another bucket, w is more than 2 r from it."""
     rng = random.Random(9)
     letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
@@ -212,13 +213,66 @@ def test_lines_beyond_a_connected_line(spark):
     sets = {k: {x[i : i + 8] for i in range(len(x) - 7)} for k, x in norms.items()}
     d = lambda a, b: 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert max(d(1, 2), d(2, 3), d(3, 4)) <= 0.2 < d(1, 3) <= 0.4 < d(1, 4) <= 0.6 and d(2, 4) > 0.2
-    distinct = spark.createDataFrame([(k, k, 9 if k == 1 else 1) for k in norms], "line long, min_doc long, n long")
-    texts = spark.createDataFrame([(k, x, len(sets[k])) for k, x in norms.items()], "line long, norm string, size int")
-    members = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 1), (3, 3), (3, 4)], "band long, line long")
-    got = lines._components(members, distinct, texts, 0.8, Scratch(spark, "t")).collect()
+    texts = spark.createDataFrame([*norms.items()], "line long, norm string")
+    members = spark.createDataFrame([(b, k, 9 if k == 1 else 1) for b, k in ((1, 1), (1, 2), (2, 2), (2, 3), (3, 1), (3, 3), (3, 4))], "band long, line long, n long")
+    monkeypatch.setattr(lines, "SMALL", small)
+    got = lines._components(members, texts, 0.8, Scratch(spark, "t")).collect()
     assert {r["node"]: r["component"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
+def test_lines_of_a_family_against_brute_force(spark, monkeypatch):
+    """One bucket of drifting copies, compared by leads and then by their differences: components as of all pairs."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    norms, k = {}, 0
+    for _ in range(3):
+        of = letters(260)
+        for _ in range(20):
+            k += 1
+            at = rng.randrange(len(of) - 40)
+            norms[k] = of[:at] + letters(rng.randrange(5, 40)) + of[at + rng.randrange(30) :]
+            if rng.random() < 0.4:
+                of = norms[k]
+    sets = {k: {x[i : i + 8] for i in range(len(x) - 7)} for k, x in norms.items()}
+    want = Sets(norms)
+    for a in norms:
+        for b in range(1, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want.join(a, b)
+    monkeypatch.setattr(lines, "SMALL", 0)
+    monkeypatch.setattr(lines, "ROUNDS", 1)
+    members = spark.createDataFrame([(0, k, 1 + k % 3) for k in norms], "band long, line long, n long")
+    got = {r["node"]: r["component"] for r in lines._components(members, spark.createDataFrame([*norms.items()], "line long, norm string"), 0.8, Scratch(spark, "t")).collect()}
+    assert {k: got.get(k, k) for k in norms} == {k: want.top(k) for k in norms} and len(set(map(want.top, norms))) > 6
+
+
+@pytest.mark.parametrize("words_of_line", [4, 12, 22, 26, 36, 80, 300])
+def test_lines_share_a_band(spark, words_of_line):
+    """Of pairs at a likeness of 0.8 to 0.85, short, middle and long, nine of ten or more share a band."""
+    rng = random.Random(words_of_line)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    pairs = []
+    while len(pairs) < 300:
+        a = [word() for _ in range(words_of_line)]
+        b = list(a)
+        while True:
+            x, y = " ".join(a), " ".join(b).strip(" ")
+            s, u = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (x, y))
+            j = len(s & u) / len(s | u)
+            if j < 0.85 or len(x) < 20:
+                break
+            k = rng.randrange(len(b))
+            b[k] = rng.choice([word(), b[k][:-1], b[k] + "s"])
+        if 0.8 <= j < 1 and min(len(x), len(y)) >= 20:
+            pairs.append((x, y))
+    rows = [(2 * k + h, p[h]) for k, p in enumerate(pairs) for h in (0, 1)]
+    found = lines._signed(lines._lines(spark.createDataFrame(rows, "doc_id long, text string"), 20)).select("min_doc", F.explode("bands").alias("band")).collect()
+    of = {}
+    for r in found:
+        of.setdefault(r["min_doc"], set()).add(r["band"])
+    assert sum(bool(of[2 * k] & of[2 * k + 1]) for k in range(300)) >= 270
+
+
 # ---- 4 ----
 
 
