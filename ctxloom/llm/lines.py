@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ctxloom.llm.components import connected_components
 from ctxloom.llm.shared import Scratch, parallelism, unused
 
-SHINGLE, ROWS = 8, 4
+SHINGLE, ROWS = 8, 5
 #: Corners that a shingle is held against, out of four times as many: its hash's two high bits choose them.
-TOGETHER = 8
+TOGETHER = 10
 #: A line of MANY words or more is signed by the shingles at its words' starts, one of fewer than FEW by all its shingles. Lines in between have both signatures, so that
 #: lines of similar length share a kind.
 MANY, FEW = 24, 32
@@ -55,11 +55,11 @@ def _signed(lines: DataFrame) -> DataFrame:
     by_place = F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * SHINGLE)))
     rows = rows.select("doc_id", "line", "kind", "i", F.shiftright(F.when(F.col("kind") == 0, by_place).otherwise(by_word), 32).cast("int").alias("h"))
     # The two high bits say which corners a shingle is held against: each row of an aggregate has few columns then.
-    low = 27  # bits below those that tell the corners apart
-    corners = [(k * 0x9E3779B1 & ((1 << low) - 1)) | k << low for k in range(TOGETHER)]
-    part, inside = F.shiftrightunsigned("h", 30), F.col("h").bitwiseAND(F.lit((1 << 30) - 1))
-    rows = rows.select("doc_id", "line", "kind", "i", part.alias("part"), inside.alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(corners)]
+    # Fifteen more bits make a distance, which takes little room in the shuffle.
+    corners = [(k << 15) // TOGETHER for k in range(TOGETHER)]
+    part, inside = F.shiftrightunsigned("h", 30), F.shiftright(F.col("h"), 15).bitwiseAND(F.lit((1 << 15) - 1)).cast("short")
+    rows = rows.select("doc_id", "line", "kind", "i", part.cast("byte").alias("part"), inside.alias("h"))
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(c).cast("short"))).alias(f"m{k}") for k, c in enumerate(corners)]
     rows = rows.groupBy("line", "kind", "part").agg(F.count(F.when(F.col("i") == 0, 1)).alias("n"), F.min("doc_id").alias("min_doc"), *least)
     bands = F.array(*(F.xxhash64("kind", "part", F.lit(b), *(F.col(f"m{b * ROWS + k}") for k in range(ROWS))) for b in range(TOGETHER // ROWS)))
     return rows.select("line", "n", "min_doc", bands.alias("bands"))
@@ -126,32 +126,29 @@ def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: S
 
     One line of such a pair, v, is loose: in another component than the lead, and so more than r = 1 - ``similarity`` from it. Let D be a line's set of differences from the lead (shingles that one has
     and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s differences apart, s being those they share, and within r only if that is at most q (|A(v)| + |A(w)|),
-    q = r / (2 - r). As |D(v)| > q (|A(v)| + |L|), they must share s >= (|D(w)| + q (|L| - |A(w)|)) / 2, and s >= |D(v)| - q (|A(v)| + |A(w)|) as well. Two sets that share s elements share one
-    among the first |D| - s + 1 of each in any one order; here the order is by the number of loose lines that have the difference. Those that none has stand first and join nothing, so they are counted, not sent.
+    q = r / (2 - r). So s >= |D(w)| - q (|A(v)| + |A(w)|), likewise for v, and as |D(v)| > q (|A(v)| + |L|), also s >= (|D(w)| + q (|L| - |A(w)|)) / 2. Two sets that share s elements share one
+    among the first |D| - s + 1 of each in any one order, at most about a quarter of |A| here. The order takes shingles that the line adds before those that it lacks: many lines of a lead lack the same.
     """
     r = 1 - similarity
     q = r / (2 - r)
-
-    def differences(of: DataFrame) -> DataFrame:
-        rows = _with_sets(of, texts)
-        # A difference that the lead has is told from one that the line has by its inverted bits.
-        xs = F.concat(F.array_except("mine", "its"), F.transform(F.array_except("its", "mine"), lambda x: F.bitwise_not(x)))
-        rows = rows.select(F.col("b").alias("lead"), F.col("a").alias("line"), F.col("part_a").alias("part"), F.size("mine").alias("own"), F.size("its").alias("its"), xs.alias("xs"))
-        return rows.select("lead", "line", "part", "own", "its", F.size("xs").alias("n"), F.explode("xs").alias("x"))
-
-    loose = scratch.keep(differences(groups.where("part_a <> part_b")), "loose", small=True)
-    counts = _few(loose.groupBy("lead", "x").agg(F.count("*").alias("count")), scratch, "counts")
-    each = Window.partitionBy("lead", "line")
-    place = F.row_number().over(each.orderBy("count", "x"))
-    least_v = F.greatest(F.ceil(F.col("n") - q * F.col("own") * (1 + 1 / (1 - r)) - MARGIN), F.lit(1))
-    least_w = F.greatest(F.ceil((F.col("n") + q * (F.col("its") - F.col("own"))) / 2 - MARGIN), F.lit(1))
-    v = loose.join(counts, ["lead", "x"]).withColumn("place", place).where(F.col("place") <= F.col("n") - least_v + 1)
-    w = differences(groups).join(counts, ["lead", "x"]).withColumn("place", place).withColumn("met", F.count("*").over(each)).where(F.col("place") <= F.col("met") - least_w + 1)
-    v = v.select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"))
-    w = scratch.keep(w.select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b")), "seen", small=True)
+    rows = _with_sets(groups, texts)
+    more = F.sort_array(F.array_except("mine", "its"))
+    # A shingle that the line lacks is told from one that it adds by its inverted bits.
+    less = F.sort_array(F.transform(F.array_except("its", "mine"), lambda x: F.bitwise_not(x)))
+    rows = rows.select(F.col("b").alias("lead"), F.col("a").alias("line"), F.col("part_a").alias("part"), (F.col("part_a") != F.col("part_b")).alias("loose"), F.size("mine").alias("own"), F.size("its").alias("its"), F.concat(more, less).alias("xs"))
+    n = F.size("xs")
+    least = F.greatest(F.ceil(n - q * F.col("own") * (1 + 1 / (1 - r)) - MARGIN), F.lit(1))
+    under = F.greatest(least, F.ceil((n + q * (F.col("its") - F.col("own"))) / 2 - MARGIN))
+    rows = rows.select("lead", "line", "part", "loose", "own", "xs", (n - least + 1).cast("int").alias("as_v"), (n - under + 1).cast("int").alias("as_w"))
+    firsts = F.slice("xs", F.lit(1), F.greatest(F.when(F.col("loose"), F.col("as_v")).otherwise(F.col("as_w")), F.lit(0)))
+    rows = rows.select("lead", "line", "part", "loose", "own", "as_w", F.posexplode(firsts).alias("place", "x"))
+    rows = scratch.keep(rows.select("lead", "x", "line", "part", "own", "loose", (F.col("place") < F.col("as_w")).alias("met")), "firsts")
+    v = rows.where("loose").select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"))
+    w = rows.where("met").select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b"))
     shared = v.join(w, ["lead", "x"]).where("part_a <> part_b").where(F.least("own_a", "own_b") >= similarity * F.greatest("own_a", "own_b") - MARGIN)
-    shared = shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return scratch.keep(shared, "shared", small=True)
+    shared = scratch.keep(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shared", small=True)
+    scratch.drop("firsts")
+    return shared
 
 
 def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -234,7 +231,7 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     of = scratch.keep(of, "classes", small=True)
     heads = of.groupBy("class_id").agg(F.min("min_doc").alias("head"), F.sum("n").alias("total"))
     of = scratch.keep(of.select("line", "class_id").join(heads, "class_id"), "heads", small=True)
-    scratch.drop("distinct", "members", "wanted", "texts", "led", "small", "groups", "loose", "counts", "seen", "shared", "classes")
+    scratch.drop("distinct", "members", "wanted", "texts", "led", "small", "groups", "shared", "classes")
     found = lines.where("line is not null").join(of, "line")
     first = F.min("line_no").over(Window.partitionBy("doc_id", "class_id"))
     inside = found.where("total > 1 and doc_id <=> head").withColumn("kept", F.col("line_no") == first).select("doc_id", "line_no", "class_id", "kept")
