@@ -159,15 +159,72 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 12_288, degree: int = 32, beam: int = 192, query_block: int = 2048) -> DataFrame:
+SHARD = pa.schema([("dims", pa.int32()), ("shard", pa.int32()), ("node", pa.int32()), ("ids", pa.list_(pa.int64())), ("embedding", pa.list_(pa.float64())), ("edges", pa.list_(pa.int32()))])
+FOUND = pa.schema([("qid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _graphs(degree: int):
+    """Builds a shard's graph: its vectors in a fixed order, the entry first, each with its out-edges."""
+
+    def run(shard: pa.Table) -> pa.Table:
+        base = _matrix(shard["embedding"], len(shard["embedding"][0]))
+        graph = build(lifted(base), degree, 2 * degree)
+        order = np.r_[graph.entry, np.delete(np.arange(len(base)), graph.entry)]
+        place = np.empty(len(base), np.int32)
+        place[order] = np.arange(len(base), dtype=np.int32)
+        edges = np.where(graph.edges >= 0, place[np.maximum(graph.edges, 0)], -1)[order].astype(np.int32)
+        columns = [shard["dims"], shard["shard"], pa.array(np.arange(len(base), dtype=np.int32)), shard["ids"].take(pa.array(order)), shard["embedding"].take(pa.array(order)), pa.FixedSizeListArray.from_arrays(pa.array(edges.ravel()), degree).cast(pa.list_(pa.int32()))]
+        return pa.table(columns, schema=SHARD)
+
+    return run
+
+
+def _visits(k: int, degree: int, beam: int):
+    """Searches a shard's stored graph for one block of queries."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return FOUND.empty_table()
+        left = left.sort_by("node")
+        of = len(left["embedding"][0])
+        base, asks = _matrix(left["embedding"], of), _matrix(right["embedding"], of)
+        graph = Graph(lifted(base), _matrix(left["edges"], degree).astype(np.int64), 0)
+        ids, number = left["ids"].to_pylist(), right["qid"].to_numpy()
+        best = min(len(base), k + 1)
+        out = ([], [], [])
+        step = max(16, min(2048, (1 << 26) // len(base)))  # a search marks what it has seen: a byte for each query and vector
+        for a in range(0, len(asks), step):
+            q = asks[a : a + step]
+            scaled = np.concatenate((q, np.zeros((len(q), 1))), axis=1)
+            scaled = (scaled / np.abs(scaled).max(axis=1, keepdims=True)).astype(np.float32)
+            found, _ = beam_search(graph, scaled, beam)
+            exact = np.where(found >= 0, np.einsum("ijk,ik->ij", base[found], q), -np.inf)
+            order = np.argsort(-exact, axis=1, kind="stable")
+            # All that tie with the last one kept stay, so that the smaller ids among them can win.
+            score = np.take_along_axis(exact, order, axis=1)
+            keep = (score >= score[:, best - 1 : best]) & np.isfinite(score)
+            r, c = np.nonzero(keep)
+            out[0].extend(number[a + r].tolist())
+            out[1].extend(ids[x] for x in np.take_along_axis(found, order, axis=1)[r, c])
+            out[2].extend(score[r, c].tolist())
+        return pa.table([pa.array(x, f.type) for x, f in zip(out, FOUND, strict=True)], schema=FOUND)
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 12_288, most_shards: int = 4096, degree: int = 64, beam: int = 224, query_block: int = 65_536) -> DataFrame:
     """The ``k`` vectors of ``vectors`` (vec_id, embedding) with the largest inner product found for each of ``queries`` (vec_id, embedding), its own vec_id left out.
 
     Returns query_id, rank (from 1), vec_id and score (the inner product in double precision on the original vectors), nearest first, ties to the smaller vec_id. If there are
     fewer than k candidates, all come back. Equal vectors are indexed once, with their k + 1 smallest ids, which is as many as a result can need. Vectors that are null,
     zero, or hold null or non-finite components take no part, nor do null ids; only vectors of the same length meet; equal rows count once; other columns are not read; empty tables give no rows.
 
-    Distinct vectors are dealt by hash to shards of about ``shard_rows``, each with a graph of its own; every block of queries visits every shard, so a task holds
-    a shard and a block. Shards with at most 4 ``beam`` vectors are compared whole.
+    Distinct vectors are dealt by hash to shards of about ``shard_rows``, or more once there are ``most_shards``; each shard's graph is built once and written. Every block of about
+    ``query_block`` queries visits every shard, as a task that holds that shard's graph and that block.
     """
     scratch = Scratch(vectors.sparkSession, "ann")
     e = F.col("embedding")
@@ -180,53 +237,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     # The limit on a rank is applied before the shuffle too: of a vector that fills the table every task sends k + 1 rows.
     groups = rows.withColumn("rank", place).where(F.col("rank") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     groups = scratch.keep(groups, "groups")
-    shards = max(1, -(-groups.count() // shard_rows))
+    shards = min(most_shards, max(1, -(-groups.count() // shard_rows)))
     dims = F.size("embedding")
     dealt = groups.select(dims.alias("dims"), F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), "ids", "embedding")
-    schema = "qid long, ids array<long>, score double"
+    schema = "dims int, shard int, node int, ids array<long>, embedding array<double>, edges array<int>"
+    graphs = scratch.keep(dealt.groupBy("dims", "shard").applyInArrow(_graphs(degree), schema), "graphs")
+    scratch.drop("groups")
     # Equal queries are searched once, under a number; a common one's own join is split where it is large.
     asked = scratch.keep(clean(queries).select("embedding").distinct().select(F.monotonically_increasing_id().alias("qid"), "embedding"), "asked")
     askers = scratch.keep(clean(queries).distinct().join(asked, "embedding").select("qid", F.col("vec_id").alias("query_id")), "askers")
-    visits = asked.select(dims.alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "qid", "embedding")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = pa.schema([("qid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
-        if not len(left) or not len(right):
-            return kinds.empty_table()
-        of = len(left["embedding"][0])
-        base = left["embedding"].combine_chunks().values.to_numpy().reshape(-1, of)
-        ids = left["ids"].to_pylist()
-        number = right["qid"].to_numpy()
-        asks = right["embedding"].combine_chunks().values.to_numpy().reshape(-1, of)
-        best = min(len(base), k + 1)
-        whole = len(base) <= 4 * beam
-        if not whole:
-            points = lifted(base)
-            graph = build(points, degree, 2 * degree)
-        out = ([], [], [])
-        for a in range(0, len(asks), query_block):
-            q = asks[a : a + query_block]
-            if whole:
-                found = np.tile(np.arange(len(base)), (len(q), 1))
-            else:
-                scaled = np.concatenate((q, np.zeros((len(q), 1))), axis=1)
-                scaled = (scaled / np.abs(scaled).max(axis=1, keepdims=True)).astype(np.float32)
-                found, _ = beam_search(graph, scaled, beam)
-            exact = np.where(found >= 0, np.einsum("ijk,ik->ij", base[found], q), -np.inf)
-            order = np.argsort(-exact, axis=1, kind="stable")
-            # All that tie with the last one kept stay, so that the smaller ids among them can win.
-            score = np.take_along_axis(exact, order, axis=1)
-            keep = (score >= score[:, best - 1 : best]) & np.isfinite(score)
-            r, c = np.nonzero(keep)
-            out[0].extend(number[a + r].tolist())
-            out[1].extend(ids[x] for x in np.take_along_axis(found, order, axis=1)[r, c])
-            out[2].extend(score[r, c].tolist())
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.float64())], schema=kinds)
-
-    found = dealt.groupBy("dims", "shard").cogroup(visits.groupBy("dims", "shard")).applyInArrow(search, schema)
+    blocks = max(1, -(-asked.count() // query_block))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    visits = asked.select(dims.alias("dims"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), "qid", "embedding").select("*", every(shards, "shard"))
+    keys = ["dims", "shard", "block"]
+    found = graphs.select("*", every(blocks, "block")).groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(_visits(k, degree, beam), "qid long, ids array<long>, score double")
     found = found.select("qid", "score", F.explode("ids").alias("vec_id"))
     top = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     found = scratch.keep(found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k + 1).drop("rank"), "found")
+    scratch.drop("graphs", "asked")
     each = askers.join(found, "qid").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
