@@ -33,7 +33,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model, passages="passages")
-    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+    held = F.coalesce(remainder("doc_id", 5), F.lit(0)) == 0  # no label teaches anything for a null id
+    return found.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

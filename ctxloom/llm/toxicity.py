@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ctxloom.llm.anchors import MIX
-from ctxloom.llm.shared import remainder
+from ctxloom.llm.shared import Scratch, remainder
 
 #: ASCII upper case to lower, ASCII punctuation and blanks to spaces; other bytes stay.
 _LETTERS = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32) for c in range(256))
@@ -172,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most_
 
     At most ``most_labels`` labelled documents teach it, those whose id hashes lowest (of ids labelled twice the higher label counts); two thirds give the
     token counts and one third the calibration. Of near copies among them (equal least hash of the five-word shingles, under either of two hashes) one counts.
+    Rows of ``docs`` that repeat (doc_id, text) count once; different texts of one doc_id each count, with its label.
     A token or stem counts once for each document. At most ``most_tokens`` tokens of ``least_z`` or more are kept. Both bounds keep
-    what reaches the driver and the tasks of one size for any input. Null labels and ids are left out; without labels of both kinds every
+    what reaches the driver and the tasks of one size for any input; the texts of these labels are written once, the corpus is read once for them. Null labels and ids are left out; without labels of both kinds every
     text scores as clean.
     """
     learn = remainder("doc_id", 5) != 0 if learn is None else learn
@@ -182,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most_
     model = Model(drift=drift)
     if len(set(known.values())) < 2:
         return model
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = docs.sparkSession.createDataFrame([(i,) for i in known], "known long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("known"), "left_semi").distinct()
+    texts = Scratch(docs.sparkSession, "toxicity").keep(texts, "labelled")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,11 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most_
                     rows.append((i, *(int((h * m >> np.uint64(1)).min()) for m in MIX[:2])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "a", "b"])
 
-    seen: set[tuple[str, int]] = set()
+    first: dict[tuple[str, int], int] = {}
     for r in sorted(texts.mapInArrow(sketch, "doc_id long, a long, b long").collect()):
-        if ("a", r["a"]) in seen or ("b", r["b"]) in seen:
+        holders = [first.setdefault(("a", r["a"]), r["doc_id"]), first.setdefault(("b", r["b"]), r["doc_id"])]
+        if any(h != r["doc_id"] for h in holders):
             known.pop(r["doc_id"], None)
-        seen |= {("a", r["a"]), ("b", r["b"])}
     if len(set(known.values())) < 2:
         return model
 
@@ -226,19 +229,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, most_
     clean = y0[keep] + 0.5
     model.decay = _decay(np.append(odds[keep], 0.0) - drift, np.append(clean, max(n0 - clean.sum(), 1)))
 
-    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i in known and not _third(i):
-                    w = words_of(t)
-                    rows.append((known[i], len(w), sorted((s[2] for s in model.segments(w)), reverse=True)[:16]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["toxic", "n", "best"])
+            words = [words_of(t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i in known and not _third(i) and not known[i]]
+            found = [(max(s[2] for s in got), len(w)) for w in words if (got := model.segments(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.float64()), pa.array([r[1] for r in found], pa.int64())], ["best", "n"])
+
+    tops = [model.decay * r["best"] - math.log(max(r["n"], 1)) for r in texts.mapInArrow(top, "best double, n long").collect()]
+    model.log_k = float(np.mean(tops)) - GAMMA if tops else 0.0
+
+    def surprises(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(known[i], words_of(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i in known and not _third(i)]
+            found = [math.log1p(model.surprise(model.segments(w), len(w))) for _, w in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(found, pa.float64())], ["toxic", "surprise"])
 
-    rows = texts.mapInArrow(calibrate, "toxic int, n long, best array<double>").collect()
-    top = [model.decay * r["best"][0] - math.log(max(r["n"], 1)) for r in rows if not r["toxic"] and r["best"]]
-    model.log_k = float(np.mean(top)) - GAMMA if top else 0.0
-    x = np.array([math.log1p(model.surprise([(0, 0, s) for s in r["best"]], r["n"])) for r in rows])
+    rows = sorted(texts.mapInArrow(surprises, "toxic int, surprise double").collect())
+    x = np.array([r["surprise"] for r in rows])
     y = np.array([r["toxic"] for r in rows], float)
     if len(rows) and 0 < y.sum() < len(y):
         model.base, model.slope = _logistic(x, y)
