@@ -22,7 +22,7 @@ BEGIN, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" begin", b" end")
 HELD_OUT, FOLD, TRAIN = 0, 1, 2
 #: Buckets of the count of (u, v), then of v where (u, v) is new, then one for a new v.
 PAIR_BUCKETS, WORD_BUCKETS = 12, 20
-GRID = 64
+GRID = 96
 
 
 class Tokens:
@@ -61,6 +61,11 @@ def _trims(blocks: DataFrame) -> tuple[np.uint64, ...]:
     return np.uint64(0), np.uint64(64 - bits), np.uint64(64 - bits)
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, or in 64 where one needs them."""
+    return n.astype(np.uint64 if len(n) and n.max() >= 1 << 32 else np.uint32)
+
+
 def _send(row: dict, buckets: int, trims: tuple[np.uint64, ...]):
     """For each bucket: the role, and for each order the distinct keys with their counts in the block."""
     tokens = Tokens(Block(row["value"]))
@@ -68,7 +73,7 @@ def _send(row: dict, buckets: int, trims: tuple[np.uint64, ...]):
     for k in range(3):
         keys = np.sort(tokens.keys[k])
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        n = np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+        n = _narrow(np.diff(np.r_[first, len(keys)]))
         keys = keys[first]
         cuts = split_by_bucket(keys, buckets)
         for b in range(buckets):
@@ -106,7 +111,7 @@ def _merge(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
             both.append(out)
         at = 0
         for j, x in enumerate(keys):
-            answers[j] += [both[0][at : at + len(x)].astype(np.uint32), both[1][at : at + len(x)].astype(np.uint32) if parts[j][0][0] == FOLD else np.empty(0, np.uint32)]
+            answers[j] += [_narrow(both[0][at : at + len(x)]), _narrow(both[1][at : at + len(x)]) if parts[j][0][0] == FOLD else np.empty(0, np.uint32)]
             at += len(x)
     return [(b, squeeze(*a)) for (b, _), a in zip(rows, answers, strict=True)] + [(-1, squeeze(stats))]
 

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -119,6 +120,50 @@ def test_nearest(spark):
     assert graph_index.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_prune_against_brute_force():
+    rng = np.random.default_rng(4)
+    pts = graph_index.lifted(rng.normal(size=(200, 8)))
+    proposed = rng.integers(-1, 200, size=(30, 40))
+    got = graph_index.robust_prune(pts, np.arange(30), proposed, 6, 1.2)
+    far = lambda a, b: max(0.0, 2 - 2 * float(pts[a] @ pts[b]))
+    for p in range(30):
+        left = sorted({int(x) for x in proposed[p] if x >= 0 and x != p}, key=lambda x: far(p, x))
+        kept = []
+        while left and len(kept) < 6:
+            kept.append(left[0])
+            left = [x for x in left[1:] if 1.2 * 1.2 * far(kept[-1], x) > far(p, x)]
+        assert [x for x in got[p] if x >= 0] == kept
+
+
+@pytest.mark.parametrize("kind", ["clustered", "isotropic"])
+def test_graphs_find_nearest(spark, kind):
+    """Three shards of 1,700 vectors each, their queries in blocks: recall against brute force."""
+    rng = np.random.default_rng(5)
+    n, of = 5100, 48
+    v = rng.normal(size=(n, of))
+    if kind == "clustered":
+        v = v * 0.3 + rng.normal(size=(60, of))[rng.integers(0, 60, n)]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in graph_index.nearest(df, df.where("vec_id % 20 = 0"), shard_rows=1700, query_block=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    near = v[::20] @ v.T
+    near[np.arange(len(near)), np.arange(0, n, 20)] = -np.inf
+    found = [len(got[20 * k] & set(np.argsort(-x)[:20].tolist())) / 20 for k, x in enumerate(near)]
+    assert len(got) == 255 and {len(x) for x in got.values()} == {20} and np.mean(found) >= 0.9
+
+
+def test_nearest_of_repeated_rows_and_ties(spark, monkeypatch):
+    rows = [(k, [1.0, float(k % 3)]) for k in range(90)]
+    df = spark.createDataFrame(rows + rows[:30], "vec_id long, embedding array<double>")
+    got = {}
+    for r in graph_index.nearest(df, df.where("vec_id % 20 = 0"), k=35, shard_rows=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q, mine in got.items():
+        want = sorted((x for x in range(90) if x != q), key=lambda x: (-(1 + (q % 3) * (x % 3)), x))[:35]
+        assert [x for _, x in sorted(mine)] == want
+
+
 # ---- 2 ----
 
 
@@ -303,6 +348,18 @@ def test_toxicity_learns_and_keeps_clean_texts(spark, nothing):
         toxicity.score(docs.withColumn("toxicity", F.lit(1)), model)
 
 
+def test_toxicity_of_repeated_rows(spark):
+    """Every row twice, and rows with null ids: the same model."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(200)] + ["vile", "awful"] * (20 if i % 5 == 0 else 0)) for _ in range(120)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    once, twice = toxicity.train(docs, labels), toxicity.train(docs.unionByName(docs), labels)
+    assert once.odds and once == twice
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, twice).collect()}
+    assert all((got[i] >= 0.5) == (i % 5 == 0) for i in range(400)) and got[None] == got[0]
+
+
 def test_segments_equal_brute_force():
     """All maximal scoring segments by their recursive definition: the best one, then those left and right of it."""
     rng = random.Random(4)
@@ -391,26 +448,63 @@ def test_order_minhash(spark, docs, texts, odd, nothing):
     assert order_minhash.fingerprint_edits(odd).count() == 5 and order_minhash.fingerprint_edits(nothing).count() == 0
 
 
+def pieces(t):
+    """Pieces by a scan of the text, with the ends' class as a set."""
+    return regex.findall(order_minhash.PIECES.replace("\\p{Punct}", re.escape("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")), t)
+
+
+def test_signature_follows_edits(spark):
+    """Likeness falls with the edit distance, in texts with and without blanks; moved passages count as an edit."""
+    rng = random.Random(13)
+    alphabets = {"spaced": None, "latin": "abcdefghijklmnopqrstuvwxyz0123456789", "han": [chr(c) for c in range(0x4E00, 0x9FFF)]}
+    rows, n = [], 3000
+    for name, letters in alphabets.items():
+        t = "".join(rng.choice(letters) for _ in range(n)) if letters else " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n // 6))
+        for edits in (0, 1, 10, 60):
+            e = t
+            for _ in range(edits):
+                at = rng.randrange(len(e))
+                e = e[:at] + rng.choice("xyz") + e[at + rng.randrange(2) :]
+            rows.append((f"{name} {edits}", t, e))
+        parts = [t[k : k + 100] for k in range(0, len(t), 100)]
+        rows += [(f"{name} swapped", t, "".join(reversed(parts))), (f"{name} front", t, "x" + t), (f"{name} other", t, "".join(rng.sample(t, len(t))))]
+    df = order_minhash.with_signature(spark.createDataFrame(rows, "name string, t string, e string"), "t", "a")
+    got = {r["name"]: r["near"] for r in order_minhash.with_signature(df, "e", "b").select("name", order_minhash.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    for name in alphabets:
+        near = [got[f"{name} {k}"] for k in (0, 1, 10, 60)]
+        assert near[0] == 1.0 and near[1] > 0.9 and near[0] >= near[1] > near[2] > near[3] > got[f"{name} other"], (name, near)
+        assert got[f"{name} swapped"] < 0.6 < got[f"{name} front"] and got[f"{name} other"] < 0.1, got
+
+
 def test_signature_against_python(spark, texts):
     """The signature by its definition, with Spark's hash taken from Spark."""
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
     got = {r["doc_id"]: r["s"] for r in order_minhash.with_signature(df, "text", "s", bins=16).collect()}
     kmers = []
     for i, t in texts.items():
-        p = re.findall(r"\s*\S{1,8}|\s+", t or "")
+        p = pieces(t or "")
         kmers += [(i, j, *(p[j + d] if j + d < len(p) else None for d in range(3))) for j in range(max(len(p) - 2, 1) if p else 0)]
     h = {(r["i"], r["j"]): r["h"] & (2**64 - 1) for r in spark.createDataFrame(kmers, "i long, j int, a string, b string, c string").select("i", "j", F.xxhash64("a", "b", "c").alias("h")).collect()}
+    bits = order_minhash.PLACE_BITS
     numbered, seen = [], Counter()
     for (i, j), x in sorted(h.items()):
-        numbered.append((i, j, x >> 24, seen[i, x >> 24]))
-        seen[i, x >> 24] += 1
+        numbered.append((i, j, x >> bits, seen[i, x >> bits]))
+        seen[i, x >> bits] += 1
     g = {(r["i"], r["j"]): r["g"] & (2**64 - 1) for r in spark.createDataFrame(numbered, "i long, j int, x long, n int").select("i", "j", F.xxhash64("x", "n").alias("g")).collect()}
+    heads = []
     for i in texts:
         bins = {}
         for (d, j), x in g.items():
             if d == i:
-                bins.setdefault(x >> 60, []).append((x >> 24, j))
-        assert [v >> 16 for v in got[i]] == [b for b in sorted(bins, key=lambda b: b if b < 8 else b - 16)]
+                bins.setdefault(x >> 60, []).append((x >> bits, j))
+        for b, of in bins.items():
+            two = sorted(sorted(of)[:2], key=lambda x: x[1])  # the two least, in the order of the text
+            heads.append((i, b, *(x for x, _ in two), *([None] * (2 - len(two)))))
+    named = spark.createDataFrame(heads, "i long, b int, x long, y long").select("i", "b", F.when(F.col("y").isNull(), F.xxhash64("x")).otherwise(F.xxhash64("x", "y")).alias("h")).collect()
+    want = {}
+    for r in named:
+        want.setdefault(r["i"], set()).add((r["b"] << 16) + (r["h"] & 0xFFFF))
+    assert all(set(got[i]) == want.get(i, set()) and len(got[i]) == len(want.get(i, ())) for i in texts)
 
 
 # ---- 8 ----
