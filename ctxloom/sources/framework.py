@@ -108,10 +108,21 @@ def is_dynamic(parts: list[tuple[str, str]]) -> bool:
 # ---- one file ----
 
 
+#: Last words of names, by our own reading of common code: objects that answer requests, and those that hold values by key.
+SERVERS = {"app", "application", "server", "router", "routes", "blueprint", "bp", "mock"}
+KEEPERS = {"cache", "redis", "memcached", "store", "storage", "repository", "repo", "dao", "map", "dict", "list", "set", "params", "headers", "config", "environ"}
+
+
+def last_word(name: str) -> str:
+    """The last word of an identifier, in lower case: of userRepository and user_repository, repository."""
+    return re.split(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])", name.rstrip("_"))[-1].lower()
+
+
 class Framework:
     def __init__(self, lang: str, text: str, rules: dict | None = None):
         self.s, self.lang = Source(lang, text), lang
         self.rules = {k: [r for r in v if matches(r, lang)] for k, v in (rules or BUILTIN).items()}
+        self.made = self._made_by() if lang in ("python", "typescript", "javascript") else {}
         self.out = {"routes": [], "beans": [], "injects": [], "entities": [], "table_refs": [], "api_calls": []}
         self.constants = self._constants()
         self.out["string_constants"] = self.constants
@@ -261,16 +272,46 @@ class Framework:
                 if len(names) >= 2:
                     self.out["injects"].append({"owner": owner, "type": s.text[s.tokens[names[0]].start : s.tokens[b - 1].start].strip()})
 
+    def _made_by(self) -> dict[str, str]:
+        """What each name of the file is assigned from: the last word before the parentheses of a call, '' for anything else."""
+        s, out = self.s, {}
+        for k in range(1, len(s.tokens) - 1):
+            if s.at(k) != "=" or not s.is_word(k - 1):
+                continue
+            j = k + 1
+            while s.at(j) in ("new", "await"):
+                j += 1
+            while s.is_word(j) and s.at(j + 1) == ".":
+                j += 2
+            out[s.at(k - 1)] = s.at(j) if s.is_word(j) and s.at(j + 1) == "(" else ""
+        return out
+
+    def _serves(self, rule: dict, name: str, path: str | None) -> bool:
+        """Whether a decorator on ``name`` registers a route: the name is one that the rule lists, or made by a router's constructor, or comes from elsewhere, reads like a server's and is given a path."""
+        if "receivers" in rule:
+            return name.lower() in rule["receivers"]
+        made = self.made.get(name)
+        return made in rule.get("constructors", ()) or made is None and last_word(name) in {*SERVERS, "api"} and (path or "/").startswith("/")
+
+    def _calls_out(self, rule: dict, receiver: str) -> bool:
+        """Whether what stands before a call's dot can be a client: not a decorator, not the object itself, nothing that serves, nothing that keeps values under keys."""
+        if receiver.startswith("@") or receiver.lower() in rule.get("exclude", ()) or self.made.get(receiver) in rule.get("registers", ()):
+            return False
+        if rule.get("receiver") and (receiver in ("this", "self") or last_word(receiver) in SERVERS and receiver not in self.made):
+            return False
+        return not (rule.get("receiver") or rule["call"] == "delete") or last_word(receiver) not in KEEPERS
+
     def _python(self) -> None:
         s = self.s
         for k in range(len(s.tokens)):
             x = s.at(k)
             if x.startswith("@") and len(x) > 1 and s.at(k + 1) == "." and s.is_word(k + 2) and s.at(k + 3) == "(":
-                rule = next((r for r in self.rules["route"] if r["annotation"] == s.at(k + 2) and x[1:].lower() in r.get("receivers", ())), None)
+                end = s.after(k + 3)
+                path = next((unquoted(s.at(j)) for j in range(k + 4, end) if s.tokens[j].kind == "string"), None)
+                rule = next((r for r in self.rules["route"] if r["annotation"] == s.at(k + 2) and self._serves(r, x[1:], path)), None)
                 if not rule:
                     continue
-                end, method = s.after(k + 3), rule["method"]
-                path = next((unquoted(s.at(j)) for j in range(k + 4, end) if s.tokens[j].kind == "string"), "/")
+                path, method = path or "/", rule["method"]
                 for j in range(k + 4, end):
                     if s.at(j) == rule.get("methods_key") and s.at(j + 1) == "=":
                         method = next((unquoted(s.at(q)).upper() for q in range(j + 2, end) if s.tokens[q].kind == "string"), method)
@@ -329,7 +370,7 @@ class Framework:
             for r in self.rules["http_client"]:
                 if r["call"] != name or r.get("receiver") and not with_receiver or r.get("bare") and with_receiver:
                     continue
-                if receiver.lower() in r.get("exclude", ()) or r.get("chain") and (call is None or s.at(call) not in r["chain"]):
+                if not self._calls_out(r, receiver) or r.get("chain") and (call is None or s.at(call) not in r["chain"]):
                     continue
                 if not with_receiver and not r.get("bare") and self.lang != "csharp" and not (self.lang == "java" and r.get("method")):
                     continue

@@ -4,30 +4,56 @@ from __future__ import annotations
 
 import tomllib
 
-#: Names that the frameworks themselves define.
+#: Names that the frameworks and client libraries themselves define.
 VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
-PY_ROUTERS = ["app", "router", "api", "blueprint", "bp"]
+#: What makes an object that registers routes: FastAPI, Flask and Quart, Sanic; Express, Koa's router, Fastify.
+PYTHON_ROUTERS = ["FastAPI", "APIRouter", "Flask", "Blueprint", "Quart", "Sanic"]
+SCRIPT_ROUTERS = ["express", "Router", "fastify", "Fastify"]
+#: Methods of HttpClient and its JSON extensions.
+CSHARP_CLIENT = {
+    "GetAsync": "GET",
+    "GetStringAsync": "GET",
+    "GetByteArrayAsync": "GET",
+    "GetStreamAsync": "GET",
+    "GetFromJsonAsync": "GET",
+    "PostAsync": "POST",
+    "PostAsJsonAsync": "POST",
+    "PutAsync": "PUT",
+    "PutAsJsonAsync": "PUT",
+    "DeleteAsync": "DELETE",
+    "DeleteFromJsonAsync": "DELETE",
+    "PatchAsync": "PATCH",
+    "PatchAsJsonAsync": "PATCH",
+}
+#: Methods of RestTemplate that fix the verb.
+JAVA_CLIENT = {
+    "getForObject": "GET",
+    "getForEntity": "GET",
+    "postForObject": "POST",
+    "postForEntity": "POST",
+    "postForLocation": "POST",
+    "patchForObject": "PATCH",
+    "delete": "DELETE",
+}
 
 
 def _builtin() -> dict[str, list[dict]]:
+    """Whether an object serves or calls is told by what made it in the file (``constructors``, ``registers``), not by what it is called."""
     route = [{"lang": "java", "annotation": f"{v.title()}Mapping", "method": v} for v in VERBS[:5]]
     route.append({"lang": "java", "annotation": "RequestMapping", "method": "ANY", "method_prefix": "RequestMethod."})
-    route += [{"lang": "python", "annotation": v.lower(), "method": v, "receivers": PY_ROUTERS} for v in VERBS[:5]]
-    route.append({"lang": "python", "annotation": "route", "method": "ANY", "receivers": PY_ROUTERS, "methods_key": "methods"})
+    route += [{"lang": "python", "annotation": v.lower(), "method": v, "constructors": PYTHON_ROUTERS} for v in VERBS[:5]]
+    route.append({"lang": "python", "annotation": "route", "method": "ANY", "constructors": PYTHON_ROUTERS, "methods_key": "methods"})
     route += [{"lang": "csharp", "annotation": f"Http{v.title()}", "method": v} for v in VERBS[:5]]
-    client: list[dict] = []
-    for names, verb in ((("getForObject", "getForEntity"), "GET"), (("postForObject", "postForEntity", "postForLocation"), "POST"), (("patchForObject",), "PATCH"), (("delete",), "DELETE")):
-        client += [{"lang": "java", "call": n, "method": verb, "url": 0} | ({"exclude": ["repository", "cache", "map", "list"]} if n == "delete" else {}) for n in names]
+    client: list[dict] = [{"lang": "java", "call": n, "method": v, "url": 0} for n, v in JAVA_CLIENT.items()]
     client += [{"lang": "java", "call": n, "method_arg": 1, "url": 0} for n in ("exchange", "execute")]
     client.append({"lang": "java", "call": "uri", "chain": [v.lower() for v in VERBS], "url": 0})
-    client += [{"lang": "python", "call": v.lower(), "url": 0, "receiver": True, "exclude": ["app", "router", "blueprint", "bp", "cache", "redis"]} for v in VERBS[:5]]
-    client.append({"lang": "python", "call": "request", "method_arg": 0, "url": 1, "receiver": True, "exclude": ["app", "router"]})
+    client += [{"lang": "python", "call": v.lower(), "url": 0, "receiver": True, "registers": PYTHON_ROUTERS} for v in VERBS[:5]]
+    client.append({"lang": "python", "call": "request", "method_arg": 0, "url": 1, "receiver": True, "registers": PYTHON_ROUTERS})
     client.append({"lang": "typescript", "call": "fetch", "method": "GET", "option": "method", "url": 0, "bare": True})
     client.append({"lang": "typescript", "call": "axios", "method": "GET", "option": "method", "url_option": "url", "url": 0, "bare": True})
-    client.append({"lang": "typescript", "call": "request", "method": "GET", "option": "method", "url_option": "url", "url": 0, "receiver": True, "exclude": ["this", "app", "router", "server", "mock"]})
-    client += [{"lang": "typescript", "call": v.lower(), "url": 0, "receiver": True, "exclude": ["this", "app", "router", "server", "mock"]} for v in VERBS]
-    for verb, ends in (("Get", ("Async", "StringAsync", "ByteArrayAsync", "StreamAsync", "FromJsonAsync")), ("Post", ("Async", "AsJsonAsync")), ("Put", ("Async", "AsJsonAsync")), ("Delete", ("Async", "FromJsonAsync")), ("Patch", ("Async", "AsJsonAsync"))):
-        client += [{"lang": "csharp", "call": verb + e, "method": verb.upper(), "url": 0} for e in ends]
+    client.append({"lang": "typescript", "call": "request", "method": "GET", "option": "method", "url_option": "url", "url": 0, "receiver": True, "registers": SCRIPT_ROUTERS})
+    client += [{"lang": "typescript", "call": v.lower(), "url": 0, "receiver": True, "registers": SCRIPT_ROUTERS} for v in VERBS]
+    client += [{"lang": "csharp", "call": n, "method": v, "url": 0} for n, v in CSHARP_CLIENT.items()]
     return {
         "route": route,
         "base_path": [{"lang": "java", "annotation": "RequestMapping"}, {"lang": "csharp", "annotation": "Route"}],
