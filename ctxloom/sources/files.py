@@ -43,17 +43,63 @@ class Excluded:
         return any(p.match(path) for p in self.patterns)
 
 
+class Ignored:
+    """The patterns of one .gitignore, for paths relative to its folder; the last one that matches decides."""
+
+    def __init__(self, text: str):
+        self.rules: list[tuple[re.Pattern, bool, bool]] = []
+        for line in text.splitlines():
+            line = re.sub(r"(?<!\\) +$", "", line)
+            if not line or line.startswith("#"):
+                continue
+            keep, line = line.startswith("!"), line.removeprefix("!")
+            only_folders, anchored = line.endswith("/"), "/" in line.rstrip("/")
+            if body := line.strip("/"):
+                self.rules.append((re.compile(("" if anchored else "(?:.*/)?") + self._regex(body) + r"\Z", re.S), only_folders, keep))
+
+    @staticmethod
+    def _regex(glob: str) -> str:
+        out, k = "", 0
+        while k < len(glob):
+            if glob.startswith("**/", k) and (not k or glob[k - 1] == "/"):
+                out, k = out + "(?:.*/)?", k + 3
+            elif glob.startswith("**", k) and k + 2 == len(glob) and (not k or glob[k - 1] == "/"):
+                out, k = out + ".+", k + 2
+            elif glob[k] == "*":
+                out, k = out + "[^/]*", k + 1
+            elif glob[k] == "?":
+                out, k = out + "[^/]", k + 1
+            elif glob[k] == "[" and "]" in glob[k + 2 :]:
+                end = glob.index("]", k + 2)
+                inner = glob[k + 1 : end].replace("\\", "\\\\")
+                out, k = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", end + 1
+            else:
+                k += glob[k] == "\\" and k + 1 < len(glob)
+                out, k = out + re.escape(glob[k]), k + 1
+        return out
+
+    def verdict(self, path: str, folder: bool) -> bool | None:
+        """True if the path is ignored, False if it is kept by name, None if no pattern matches."""
+        return next((not keep for p, only_folders, keep in reversed(self.rules) if (folder or not only_folders) and p.match(path)), None)
+
+
 def list_tree(root: str, excludes: list[str] | None = None) -> Iterator[str]:
-    """Relative paths below ``root``: without hidden ones, what .gitignore names, and excluded directories, which are not entered."""
+    """Relative paths below ``root``: without hidden ones, what a .gitignore of the folder or of one above it names, and excluded directories, which are not entered."""
     out = Excluded(EXCLUDES if excludes is None else excludes)
+    above: dict[str, list[tuple[str, Ignored]]] = {"": []}
     for base, dirs, names in os.walk(root):
         rel = os.path.relpath(base, root).replace(os.sep, "/")
         at = "" if rel == "." else rel + "/"
         ignore = Path(base, ".gitignore")
-        own = [x.strip() for x in ignore.read_text(errors="replace").splitlines() if x.strip() and not x.startswith(("#", "!"))] if ignore.is_file() else []
-        skip = lambda n, o=own: any(fnmatch.fnmatch(n, g.strip("/")) for g in o if "/" not in g.strip("/"))
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and not skip(d) and not out(f"{at}{d}/x"))
-        yield from (at + n for n in sorted(names) if not n.startswith(".") and not skip(n) and not out(at + n))
+        rules = above.pop(at) + ([(at, Ignored(ignore.read_text(errors="replace")))] if ignore.is_file() else [])
+
+        def skip(name: str, folder: bool, at: str = at, rules: list[tuple[str, Ignored]] = rules) -> bool:
+            found = (r.verdict((at + name)[len(of) :], folder) for of, r in reversed(rules))
+            return next((v for v in found if v is not None), False)
+
+        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and not skip(d, True) and not out(f"{at}{d}/x"))
+        above |= {f"{at}{d}/": rules for d in dirs}
+        yield from (at + n for n in sorted(names) if not n.startswith(".") and not skip(n, False) and not out(at + n))
 
 
 SCAN = "repo string, path string, lang string, bytes bigint, mtime bigint, content_hash string, text string, skipped string"
@@ -139,6 +185,8 @@ class Config:
     languages: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=lambda: list(EXCLUDES))
     max_file_bytes: int = MOST_BYTES
+    #: The extraction cache loses its oldest quarter beyond this size.
+    cache_bytes: int = 1 << 30
     max_commits: int = 1000
     max_candidates: int = 3
     rank: dict[str, float] = field(default_factory=lambda: {"alpha": 0.7, "beta": 0.5, "gamma": 0.3, "delta": 0.4, "epsilon": 0.2})
@@ -150,7 +198,7 @@ CONFIG_NAME, SHARED_NAME = "ctxloom.toml", "ctxloom.shared.toml"
 
 
 def load_config(path: str) -> Config:
-    """The local file, over which the shared one beside it lays its index fields one by one and its other sections whole; max_file_bytes is never shared."""
+    """The local file, over which the shared one beside it lays its index fields one by one and its other sections whole; max_file_bytes and cache_bytes are never shared."""
     c = Config()
     for name, shared in ((path, False), (str(Path(path).with_name(SHARED_NAME)), True)):
         if not Path(name).is_file():
@@ -158,7 +206,7 @@ def load_config(path: str) -> Config:
         text = Path(name).read_text()
         d = tomllib.loads(text)
         solution, index = d.get("solution", {}), d.get("index", {})
-        known = {f.name for f in fields(Config)} - ({"max_file_bytes"} if shared else set())
+        known = {f.name for f in fields(Config)} - ({"max_file_bytes", "cache_bytes"} if shared else set())
         c = replace(c, **{k: v for k, v in index.items() if k in known})
         if not shared:
             c = replace(c, name=solution.get("name", c.name), repos=[str((Path(path).parent / r).resolve()) for r in solution.get("repos", [])])
@@ -176,7 +224,7 @@ def save_config(path: str, c: Config, shared: bool = False) -> None:
     q = lambda xs: "[" + ", ".join(f'"{x}"' for x in xs) + "]"
     out = [] if shared else ["[solution]", f'name = "{c.name}"', f"repos = {q(c.repos)}", ""]
     out += ["[index]", f"languages = {q(c.languages)}", f"exclude = {q(c.exclude)}", f"max_commits = {c.max_commits}", f"max_candidates = {c.max_candidates}"]
-    out += [] if shared else [f"max_file_bytes = {c.max_file_bytes}"]
+    out += [] if shared else [f"max_file_bytes = {c.max_file_bytes}", f"cache_bytes = {c.cache_bytes}"]
     out += ["", "[rank]", *(f"{k} = {v}" for k, v in c.rank.items()), "", "[semantic.terms]", *(f'"{k}" = {q(v)}' for k, v in c.terms.items()), ""]
     Path(path).write_text("\n".join(out))
 

@@ -113,3 +113,23 @@ def test_rules():
     assert own["route"][-1]["annotation"] == "Own" and len(own["route"]) == 18
     assert merged("[framework]\nreplace_defaults = true\n")["route"] == []
     assert merged("[framework]\nreplace_defaults = true\n" + rules_toml()) == BUILTIN
+
+
+def test_objects_that_serve_are_told_by_their_constructor():
+    text = 'from fastapi import APIRouter\nusers = APIRouter()\nsettings = load()\n@users.get("/u")\ndef a(): ...\n@settings.get("/no")\ndef b(): ...\nusers.get("/x")\nclient.get("/api/x")\n'
+    f = framework_facts("python", text)
+    assert [(r["method"], r["path"], r["handler"]) for r in f["routes"]] == [("GET", "/u", "a")] and [c["path"] for c in f["api_calls"]] == ["/api/x"]
+    f = framework_facts("typescript", 'const web = express();\nweb.get("/a", show);\nuserCache.get("/b");\napi.get("/api/c");\nthis.get("/d");\n')
+    assert [c["path"] for c in f["api_calls"]] == ["/api/c"]
+    assert not framework_facts("java", 'class A { void f() { userRepository.delete("/api/x"); } }')["api_calls"]
+
+
+def test_gitignore_of_folders_above(tmp_path):
+    from ctxloom.sources.files import list_tree
+
+    for path in ("a.gen.ts", "src/x.gen.ts", "src/secret.ts", "src/keep.gen.ts", "src/deep/out/y.ts", "src/deep/z.ts", "docs/a/b/c.md", "top.md", "src/top.md", "src/a1.py", "src/ab.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    (tmp_path / ".gitignore").write_text("# rules\n*.gen.ts\n!keep.gen.ts\nsrc/secret.ts\nout/\ndocs/**/c.md\n/top.md\na[0-9].py\n")
+    (tmp_path / "src" / "deep" / ".gitignore").write_text("!out/\n")
+    assert list(list_tree(str(tmp_path))) == ["src/ab.py", "src/keep.gen.ts", "src/top.md", "src/deep/z.ts", "src/deep/out/y.ts"]
