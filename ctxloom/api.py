@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from pathlib import Path
 
@@ -18,7 +20,7 @@ from ctxloom.operators import search as S
 from ctxloom.operators import store as W
 from ctxloom.operators.impact import impact
 from ctxloom.sources import files as FS
-from ctxloom.sources.extract import extract_files
+from ctxloom.sources.extract import FACTS, extract_files
 from ctxloom.sources.framework import mapper_statements
 from ctxloom.sources.rules import merged
 
@@ -26,15 +28,31 @@ FRAMEWORK = """struct<routes:array<struct<method:string,path:string,handler:stri
 entities:array<struct<entity:string,table:string>>,table_refs:array<struct<owner:string,table:string,verb:string>>,api_calls:array<struct<method:string,path:string,dynamic:boolean,described:string,line:int,template:array<struct<tag:string,value:string>>>>,string_constants:map<string,string>>"""
 
 
-def build_graph(spark: SparkSession, files: DataFrame, commits: DataFrame | None = None, config: FS.Config | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of scanned ``files`` (see sources.files.SCAN) and ``commits`` (see history.parse_log).
+#: The extraction cache: what a text in a language gives under a set of rules.
+CACHE_KEYS = ("content_hash", "lang", "rules")
+CACHE = f"content_hash string, lang string, rules string, payload struct<{FACTS}, framework string>, bytes bigint, used_at bigint"
+
+
+def cached_facts(live: DataFrame, cache: DataFrame, rules: dict, now: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(facts, new cache, hits, misses) of ``live`` files: only files whose (hash, language, rules) the cache lacks are parsed."""
+    key = hashlib.sha256(json.dumps(rules, sort_keys=True).encode()).hexdigest()
+    hits, misses, renewed = D.cache_lookup(live.withColumn("rules", F.lit(key)), cache, now, CACHE_KEYS)
+    parts = [f.name for f in cache.schema["payload"].dataType.fields]
+    fresh = extract_files(misses, rules).select("repo", "path", "lang", F.struct(*parts).alias("payload")).persist()
+    facts = hits.select("repo", "path", "lang", "payload").unionByName(fresh).select("repo", "path", "lang", "payload.*")
+    put = D.cache_put(renewed, fresh.join(misses.select("repo", "path", "content_hash", "rules"), ["repo", "path"]), now, CACHE_KEYS)
+    return facts, put, hits, misses
+
+
+def build_graph(spark: SparkSession, files: DataFrame, commits: DataFrame | None = None, config: FS.Config | None = None, facts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of scanned ``files`` (see sources.files.SCAN) and ``commits`` (see history.parse_log); ``facts`` are those of the files, if they are known.
 
     One narrow pass extracts nested facts, which are kept; all links are joins over them.
     """
     c = config or FS.Config()
     rules = merged(c.framework)
     live = files.where("skipped is null").persist()
-    facts = extract_files(live, rules).withColumn("fw", F.from_json("framework", FRAMEWORK)).withColumn("file", X.node_id("file", "repo", "path")).persist()
+    facts = (extract_files(live, rules) if facts is None else facts).withColumn("fw", F.from_json("framework", FRAMEWORK)).withColumn("file", X.node_id("file", "repo", "path")).persist()
     empty = lambda k: F.lit(None).cast(k)
 
     def node(df: DataFrame, id_, kind: str, name, repo="repo", path=None, start=None, end=None, signature=None, doc=None, lang=None, content_hash=None, mtime=None, attrs=None) -> DataFrame:
@@ -136,12 +154,22 @@ class ContextGraph:
         for x in logs[1:]:
             commits = commits.unionByName(x)
         files = self.scan().persist()
-        nodes, edges = build_graph(self.spark, files, commits, self.config)
+        live = files.where("skipped is null")
+        facts, cache, hits, misses = cached_facts(live, self.store.cache(CACHE), merged(self.config.framework), int(began))
+        n_hits, n_misses = hits.count(), misses.count()
+        nodes, edges = build_graph(self.spark, files, commits, self.config, facts)
         nodes, edges = nodes.persist(), edges.persist()
         kinds = lambda df: {r["kind"]: r["n"] for r in df.groupBy("kind").agg(F.count("*").alias("n")).collect()}
         skipped = {r["skipped"]: r["n"] for r in files.where("skipped is not null").groupBy("skipped").agg(F.count("*").alias("n")).collect()}
-        metrics = {"nodes": kinds(nodes), "edges": kinds(edges), "skipped": skipped, "repos": {n: dict(zip(("branch", "head"), FS.git_head(r), strict=True)) for n, r in self.repos().items()}, "seconds": round(time.time() - began, 2)}
-        self.store.write(nodes, edges, metrics)
+        languages = {r["lang"]: r["n"] for r in D.files_by_language(nodes).collect()}
+        coverage = {r["lang"]: [r["files"], r["parsed"], r["mark"]] for r in D.language_coverage(facts.where(F.col("lang").isin(*X.CODE))).collect()}
+        api_calls = nodes.where("kind = 'api_call'").select("id", (F.get_json_object("attrs", "$.dynamic") == "true").alias("dynamic"))
+        linked = edges.where("kind = 'calls_api'").select(F.col("src").alias("id")).distinct().withColumn("hit", F.lit(1))
+        calls = api_calls.join(linked, "id", "left").agg(F.count("*").alias("all"), F.count("hit").alias("linked"), F.count_if("dynamic").alias("dynamic")).first().asDict()
+        metrics = {"nodes": kinds(nodes), "edges": kinds(edges), "files": languages, "coverage": coverage, "api_calls": calls, "cache": {"hits": n_hits, "misses": n_misses, "rate": round(D.hit_rate(n_hits, n_misses), 4)}, "skipped": skipped, "repos": {n: dict(zip(("branch", "head"), FS.git_head(r), strict=True)) for n, r in self.repos().items()}, "seconds": round(time.time() - began, 2)}
+        self.store.write(nodes, edges, metrics, D.cache_evict(cache, self.config.cache_bytes))
+        for kept in (files, nodes, edges):
+            kept.unpersist()
         return metrics
 
     def search(self, query: str, limit: int = 20) -> DataFrame:

@@ -55,9 +55,9 @@ def with_stale_note(answer: dict, row: dict | None) -> dict:
     return answer | {"stale_index": f"the index is behind: {drift_summary(row)}"} if behind else answer
 
 
-def cache_lookup(scan: DataFrame, cache: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hits with payload, misses, the cache with the hits' time renewed) of ``scan`` (content_hash, lang, ...) by (hash, lang)."""
-    keys = ["content_hash", "lang"]
+def cache_lookup(scan: DataFrame, cache: DataFrame, now: int, keys: tuple[str, ...] = ("content_hash", "lang")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits with payload, misses, the cache with the hits' time renewed) of ``scan`` (content_hash, lang, ...) by ``keys``."""
+    keys = list(keys)
     hits = scan.join(cache.select(*keys, "payload"), keys)
     misses = scan.join(cache.select(*keys), keys, "left_anti")
     used = scan.select(*keys).distinct().withColumn("__hit", F.lit(True))
@@ -65,6 +65,13 @@ def cache_lookup(scan: DataFrame, cache: DataFrame, now: int) -> tuple[DataFrame
     return hits, misses, renewed
 
 
+def cache_put(cache: DataFrame, fresh: DataFrame, now: int, keys: tuple[str, ...] = ("content_hash", "lang")) -> DataFrame:
+    """``cache`` with an entry for each distinct key of ``fresh`` (keys, payload) that it lacks."""
+    rows = fresh.join(cache.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
+    sized = rows.select(*keys, "payload", F.octet_length(F.to_json("payload")).cast("long").alias("bytes"), F.lit(now).cast("long").alias("used_at"))
+    return cache.unionByName(sized)
+
+
 def cache_evict(cache: DataFrame, most_bytes: int) -> DataFrame:
     """The cache without its oldest quarter if it is larger than ``most_bytes``, else as it is."""
     total, n = cache.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()

@@ -10,7 +10,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 1
 NODE_KINDS = ("repo", "file", "symbol", "route", "api_call", "table", "external_dep", "commit", "author")
 EDGE_KINDS = ("contains", "defined_in", "calls", "imports", "depends_on", "calls_api", "extends_implements", "injects", "tests", "handles", "persists_to", "modified_by", "authored_by", "co_changed_with")
 NODES = "id string, key string, kind string, name string, repo string, path string, start_line int, end_line int, signature string, doc string, lang string, content_hash string, mtime bigint, attrs string"
@@ -81,11 +81,13 @@ class Store:
             raise ValueError(f"the store has schema {state['schema_version']}, this engine {SCHEMA_VERSION}: rebuild the index")
         return state
 
-    def write(self, nodes: DataFrame, edges: DataFrame, metrics: dict | None = None) -> None:
-        """A new snapshot, nodes by kind; the pointer changes once it stands."""
+    def write(self, nodes: DataFrame, edges: DataFrame, metrics: dict | None = None, cache: DataFrame | None = None) -> None:
+        """A new snapshot, nodes by kind, and the extraction cache that goes with it; the pointer changes once it stands."""
         name = f"snapshot-{(int((self.state()['snapshot'] or 'snapshot-0').split('-')[1]) + 1):06d}"
         nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/{name}/nodes")
         edges.write.mode("overwrite").parquet(f"{self.root}/{name}/edges")
+        if cache is not None:
+            cache.write.mode("overwrite").parquet(f"{self.root}/{name}/cache")
         fs, path = self._path("current.json")
         out = fs.create(path, True)
         out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "snapshot": name, "metrics": metrics}).encode()))
@@ -100,6 +102,12 @@ class Store:
         name = self.state()["snapshot"]
         return self.spark.read.schema(EDGES).parquet(f"{self.root}/{name}/edges") if name else self.spark.createDataFrame([], EDGES)
 
+    def cache(self, schema: str) -> DataFrame:
+        """The extraction cache of the current snapshot; empty where there is none."""
+        name = self.state()["snapshot"]
+        fs, path = self._path(f"{name}/cache")
+        return self.spark.read.schema(schema).parquet(path.toString()) if name and fs.exists(path) else self.spark.createDataFrame([], schema)
+
     def clear(self) -> None:
         fs, path = self._path("")
         fs.delete(path, True)

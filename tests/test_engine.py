@@ -5,6 +5,7 @@ import math
 import random
 import sqlite3
 import subprocess
+import zlib
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ctxloom.api import ContextGraph
+from ctxloom.api import CACHE, ContextGraph, cached_facts
 from ctxloom.cli import main
 from ctxloom.functions import text as X
 from ctxloom.operators import drift as D
@@ -22,6 +23,7 @@ from ctxloom.operators import rank as P
 from ctxloom.operators import search as S
 from ctxloom.operators import store as W
 from ctxloom.sources import files as FS
+from ctxloom.sources.rules import merged
 from ctxloom.streaming.watch import changed_paths, debounced, watch
 
 
@@ -227,7 +229,7 @@ def test_config_and_cli(tree, tmp_path, capsys, monkeypatch):
 
 
 def test_schema_gate(spark, tmp_path):
-    (tmp_path / "current.json").write_text('{"schema_version": 1, "snapshot": null}')
+    (tmp_path / "current.json").write_text('{"schema_version": 99, "snapshot": null}')
     with pytest.raises(ValueError, match="rebuild"):
         W.Store(spark, f"file://{tmp_path}").state()
 
@@ -243,3 +245,29 @@ def test_streams(spark, tmp_path):
     events = spark.createDataFrame([("k", t) for t in (0, 100, 400, 1200)], "k string, ms long").select("k", F.timestamp_millis("ms").alias("at"))
     assert sorted(r["n"] for r in debounced(events, "at", ["k"]).collect()) == [1, 3]
     assert changed_paths(spark.createDataFrame([("a/.git/b",)], "path string")).count() == 0
+
+
+def test_extraction_cache(spark):
+    """A cold pass parses every file, a warm one none, a changed file or other rules those that they touch; the facts are the same."""
+    row = lambda path, text: ("r", path, "python", hash_of(text), text)
+    hash_of = lambda text: str(zlib.crc32(text.encode()))
+    two = "def two():\n    return 1\n"
+    rows = [row("a.py", "def one():\n    return two()\n"), row("b.py", two), row("copy.py", two)]
+    files = lambda rows: spark.createDataFrame(rows, "repo string, path string, lang string, content_hash string, text string")
+    names = lambda facts: sorted((r["path"], [s["name"] for s in r["symbols"]]) for r in facts.collect())
+    facts, cache, hits, misses = cached_facts(files(rows), spark.createDataFrame([], CACHE), merged(None), 1)
+    cold = names(facts)
+    assert (hits.count(), misses.count(), cache.count()) == (0, 3, 2) and cold == [("a.py", ["one"]), ("b.py", ["two"]), ("copy.py", ["two"])]
+    cache = spark.createDataFrame(cache.collect(), CACHE)
+    facts, again, hits, misses = cached_facts(files(rows), cache, merged(None), 2)
+    assert (hits.count(), misses.count(), again.count()) == (3, 0, 2) and names(facts) == cold and {r["used_at"] for r in again.collect()} == {2}
+    _, _, hits, misses = cached_facts(files([row("a.py", "def three(): ..."), *rows[1:]]), cache, merged(None), 3)
+    assert (hits.count(), misses.count()) == (2, 1)
+    _, _, hits, misses = cached_facts(files(rows), cache, merged('[[framework.bean]]\nlang = "java"\nannotations = ["Mine"]\n'), 3)
+    assert (hits.count(), misses.count()) == (0, 3)
+
+
+def test_warm_index(graph):
+    """What an earlier index of this tree parsed is not parsed again."""
+    metrics = graph.index()
+    assert metrics["cache"]["misses"] == 0 and metrics["cache"]["rate"] == 1.0 and metrics["files"] and metrics["coverage"] and metrics["api_calls"]["linked"] > 0
