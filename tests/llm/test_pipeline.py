@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from ctxloom.llm import shared
 from tests.llm.test_operators import check_pack
 
 
@@ -64,3 +65,28 @@ def test_short_lines_outlive_a_shared_one(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("roses\nviolets\n\nsugar", 20)}
+
+
+def test_a_session_without_a_shared_folder_is_told_so():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session())
+
+
+def test_stages_on_empty_and_odd_tables(spark, folder):
+    """Null ids, null texts and clashing names through line dedup and near-dedup; an empty table through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __gone string, __of int, __toxicity double"
+    line = "one line of a text that stands in two rows of the table"
+    docs = spark.createDataFrame([(1, line, "en", "s", 1, "a", 1, 0.5), (None, line, "en", None, 1, "b", 1, None), (2, None, None, "s", None, None, None, None)], schema)
+    kept = corpus_pipeline.drop_repeated_lines(spark, docs, folder[0])
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2}
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder[0])
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "None"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder[0]).count() == 0
