@@ -1,36 +1,27 @@
-"""Fuzzy line deduplication by MinHash.
+"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Lines are compared by their sets of character shingles. Least values of the shingles' hashes under fixed permutations are a line's signature;
+Lines are compared by their sets of character shingles. Hashes of the shingles, each held against fixed corners, give a signature of least values;
 bands of it find candidates, whole shingle sets verify them, and connected components keep one line each.
-
-Signatures and exact likeness are made in Arrow batches: in DataFrame functions each shingle was a row, which took more disk and time than the table bears (see the README).
-All else is joins and aggregates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.llm.components import connected_components
 from ctxloom.llm.shared import Scratch, parallelism, unused
 
-SHINGLE, ROWS, BANDS = 8, 4, 10
+SHINGLE, ROWS = 8, 5
+#: Corners that a shingle is held against, out of four times as many: its hash's two high bits choose them.
+TOGETHER = 10
 #: A line of MANY words or more is signed by the shingles at its words' starts, one of fewer than FEW by all its shingles. Lines in between have both signatures, so that
 #: lines of similar length share a kind.
 MANY, FEW = 24, 32
-#: Odd numbers that hashes are multiplied by: powers of the golden ratio's 64 bits.
-GOLDEN = 0x9E3779B97F4A7C15
-FACTORS = [pow(GOLDEN, k + 1, 1 << 64) for k in range(ROWS * BANDS)]
-#: Characters that are decoded, and places that are hashed, at once.
-CHARS, PLACES = 1 << 22, 1 << 19
+#: Words that a shingle at a word's start can reach into.
+REACH = 5
 #: Further rounds with a lead, and what rounding may do to a number of shingles.
-ROUNDS, MARGIN = 4, 1e-9
+ROUNDS, MARGIN = 1, 1e-9
 #: In buckets of at most so many lines, those that leads leave apart are compared one by one: a line then meets no more than this less one.
 SMALL = 8
 #: Rows of two or three numbers are broadcast up to this number, beyond it they are joined by a shuffle.
@@ -46,103 +37,33 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return split.select("doc_id", "line_no", "norm", F.when(F.char_length("norm") >= least, F.xxhash64("norm")).alias("line"))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(GOLDEN)
-    h ^= h >> np.uint64(29)
-    return h
-
-
-def _hashes(codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the SHINGLE code points from each place on."""
-    h, step, factor = codes.astype(np.uint64), 1, FACTORS[1]
-    while step < SHINGLE:
-        h = h[:-step] * np.uint64(factor) + h[step:]
-        step, factor = 2 * step, factor * factor % (1 << 64)
-    return _mixed(h)
-
-
-def _padded(texts: pa.Array) -> pa.Array:
-    """Texts shorter than a shingle are filled up to one, and so are a shingle of their own."""
-    return pc.utf8_rpad(texts, SHINGLE, "\0")
-
-
-def _bands(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, kind, bands) of the signatures of lines of ``sizes`` code points, which follow one another in ``codes``."""
-    starts = np.cumsum(sizes) - sizes
-    count = np.add.reduceat(codes == 32, starts, dtype=np.int64) + 1
-    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    least = np.full((2, ROWS * BANDS, len(sizes)), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(codes) - SHINGLE + 1, PLACES):
-        h = (_hashes(codes[at : at + PLACES + SHINGLE - 1]) >> np.uint64(32)).astype(np.uint32)
-        to = at + len(h)
-        inside = of[at:to] == of[at + SHINGLE - 1 : to + SHINGLE - 1]
-        first = np.ones(len(h), bool)
-        first[(at == 0) :] = codes[max(at - 1, 0) : to - 1] == 32
-        heads = starts[(starts >= at) & (starts < to)] - at
-        first[heads] = True
-        for kind, wanted in enumerate((inside & (count < FEW)[of[at:to]], inside & first & (count >= MANY)[of[at:to]])):
-            places = np.flatnonzero(wanted)
-            if not len(places):
-                continue
-            mine, x = of[at:to][places], h[places]
-            cuts = np.flatnonzero(np.diff(mine, prepend=-1))
-            lines = mine[cuts]
-            for k, factor in enumerate(FACTORS):
-                row = least[kind, k]
-                row[lines] = np.minimum(row[lines], np.minimum.reduceat(x * np.uint32(factor >> 32 | 1), cuts))
-    found = []
-    for kind, lines in enumerate((np.flatnonzero(count < FEW), np.flatnonzero(count >= MANY))):
-        bands = np.empty((BANDS, len(lines)), np.uint64)
-        for b in range(BANDS):
-            v = np.full(len(lines), 2 * b + kind, np.uint64)
-            for k in range(b * ROWS, (b + 1) * ROWS):
-                v = _mixed(v * np.uint64(FACTORS[0]) + least[kind, k][lines])
-            bands[b] = v
-        found.append((lines, np.full(len(lines), kind, np.int8), bands))
-    return tuple(np.concatenate(x, axis=-1) for x in zip(*found, strict=True))
-
-
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(from, to, sizes) of runs of ``texts`` of about CHARS code points; a longer text is one of its own."""
-    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    at = 0
-    while at < len(sizes):
-        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), CHARS, "right")))
-        yield at, to, sizes[at:to]
-        at = to
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
-
 def _signed(lines: DataFrame) -> DataFrame:
-    """Rows (line, n, min_doc, bands) of the distinct lines' signatures: a hash for each run of ROWS least values. The largest n of a line is how often it occurs, the least min_doc where first.
+    """Rows (line, n, min_doc, bands) of the distinct lines' signatures: a hash for each run of ROWS least values; n is how often a line occurs, min_doc where first.
 
-    Equal lines of a batch are signed once. Hashes, permuted by odd factors, keep their least values; those of a long line are combined from runs of its places.
+    The hash of a shingle, XORed with a corner, is its distance from that corner, and each corner keeps its least one. Corners differ in their high bits, so each looks at
+    shingles of its own where there are enough. Equal lines become one before they are dealt; shingles stay in the task of their line, so that no signature is shuffled.
     """
-    names = [f"b{k}" for k in range(BANDS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            line = batch.column(1).to_numpy(zero_copy_only=False)
-            unique, at, inverse, n = np.unique(line, return_index=True, return_inverse=True, return_counts=True)
-            docs = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else pc.fill_null(batch.column(0), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-            least = np.full(len(unique), np.iinfo(np.int64).max)
-            np.minimum.at(least, inverse.reshape(-1), docs)
-            texts = _padded(batch.column(2).take(pa.array(at)))
-            for a, b, sizes in _chunks(texts):
-                mine, kind, bands = _bands(_codes("".join(texts.slice(a, b - a).to_pylist())), sizes)
-                of = mine + a
-                columns = [pa.array(unique[of]), pa.array(kind), pa.array(n[of]), pa.array(least[of], mask=least[of] == np.iinfo(np.int64).max), *(pa.array(x.view(np.int64)) for x in bands)]
-                yield pa.RecordBatch.from_arrays(columns, ["line", "kind", "n", "min_doc", *names])
-
-    rows = lines.where("line is not null").select("doc_id", "line", "norm").mapInArrow(run, f"line long, kind byte, n long, min_doc long, {', '.join(f'{x} long' for x in names)}")
-    rows = rows.groupBy("line", "kind").agg(F.sum("n").alias("n"), F.min("min_doc").alias("min_doc"), *(F.min(x).alias(x) for x in names))
-    return rows.select("line", "n", "min_doc", F.array(*names).alias("bands"))
+    lines = lines.where("line is not null").groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("min_doc"), F.max("norm").alias("norm"))
+    count = F.size(F.split("norm", " "))
+    kinds = F.when(count < MANY, F.array(F.lit(0))).when(count < FEW, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    words = F.when(count >= MANY, F.split("norm", " "))
+    # In UTF-32 characters have fixed places. Both forms are made below the generators; in one select with them Spark would make them anew for every shingle.
+    wide = F.when(count < FEW, F.encode("norm", "UTF-32"))
+    rows = lines.select("n", "min_doc", "line", words.alias("words"), wide.alias("wide"), (F.char_length("norm") - SHINGLE).alias("last"), F.explode(kinds).alias("kind"))
+    places = F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.greatest("last", F.lit(0))).otherwise(F.size("words") - 1))
+    rows = rows.select("n", "min_doc", "line", "kind", "words", "wide", F.explode(places).alias("i"))
+    by_word = F.xxhash64(F.substring(F.concat_ws(" ", *(F.get("words", F.col("i") + k) for k in range(REACH))), 1, SHINGLE))
+    by_place = F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * SHINGLE)))
+    rows = rows.select("n", "min_doc", "line", "kind", F.shiftright(F.when(F.col("kind") == 0, by_place).otherwise(by_word), 32).cast("int").alias("h"))
+    # The two high bits say which corners a shingle is held against: each row of an aggregate has few columns then.
+    # Fifteen more bits make a distance, which takes little room in the shuffle.
+    corners = [(k << 15) // TOGETHER for k in range(TOGETHER)]
+    part, inside = F.shiftrightunsigned("h", 30), F.shiftright(F.col("h"), 15).bitwiseAND(F.lit((1 << 15) - 1)).cast("short")
+    rows = rows.select("n", "min_doc", "line", "kind", part.cast("byte").alias("part"), inside.alias("h"))
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(c).cast("short"))).alias(f"m{k}") for k, c in enumerate(corners)]
+    rows = rows.groupBy("line", "kind", "part").agg(F.max("n").alias("n"), F.min("min_doc").alias("min_doc"), *least)
+    bands = F.array(*(F.xxhash64("kind", "part", F.lit(b), *(F.col(f"m{b * ROWS + k}") for k in range(ROWS))) for b in range(TOGETHER // ROWS)))
+    return rows.select("line", "n", "min_doc", bands.alias("bands"))
 
 
 def _shingle_set(text: Column) -> Column:
@@ -159,36 +80,11 @@ def _with_sets(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(of, "b").withColumn("mine", _shingle_set(F.col("norm"))).drop("norm")
 
 
-def _set_of(text: str) -> np.ndarray:
-    """The distinct hashes of a line's shingles, in order."""
-    h = _hashes(_codes(text))
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
-
-
 def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, alike): whether the exact Jaccard likeness of each pair's shingle sets is ``similarity`` or more.
-
-    The join on b comes first, so that what is compared is dealt by a: a lead's lines are spread over tasks.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.sort_by("b")
-            verdicts, last, its = np.zeros(len(batch), bool), None, None
-            for k, (b, x, y) in enumerate(zip(batch.column(1).to_pylist(), _padded(batch.column(2)).to_pylist(), _padded(batch.column(3)).to_pylist(), strict=True)):
-                if b != last:
-                    last, its = b, _set_of(y)
-                mine = _set_of(x)
-                both = np.concatenate((mine, its))
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                verdicts[k] = common >= similarity * (len(mine) + len(its) - common) - MARGIN
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts)], ["a", "b", "alike"])
-
-    rows = pairs.select("a", "b").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("y")), "b")
-    rows = rows.repartition(parallelism(pairs.sparkSession), "a").join(texts.select(F.col("line").alias("a"), F.col("norm").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, alike boolean")
+    """(a, b, alike): whether the exact Jaccard likeness of each pair's shingle sets is ``similarity`` or more."""
+    dealt = pairs.repartition(parallelism(pairs.sparkSession), "a")  # the work of a pair is large for its bytes
+    rows = _with_sets(dealt, texts).withColumn("common", F.size(F.array_intersect("mine", "its")))
+    return rows.select("a", "b", (F.col("common") >= similarity * (F.size("mine") + F.size("its") - F.col("common")) - MARGIN).alias("alike"))
 
 
 def _few(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -232,22 +128,29 @@ def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: S
     One line of such a pair, v, is loose: in another component than the lead, and so more than r = 1 - ``similarity`` from it. Let D be a line's set of differences from the lead (shingles that one has
     and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s differences apart, s being those they share, and within r only if that is at most q (|A(v)| + |A(w)|),
     q = r / (2 - r). So s >= |D(w)| - q (|A(v)| + |A(w)|), likewise for v, and as |D(v)| > q (|A(v)| + |L|), also s >= (|D(w)| + q (|L| - |A(w)|)) / 2. Two sets that share s elements share one
-    among the first |D| - s + 1 of each in any one order, at most about a quarter of |A| here. The order takes shingles that the line adds before those that it lacks: many lines of a lead lack the same.
+    among the first |D| - s + 1 of each in any one order, at most about a quarter of |A| here. The order takes the differences that the fewest lines of the lead have first, so that few lines meet by chance.
     """
     r = 1 - similarity
     q = r / (2 - r)
     rows = _with_sets(groups, texts)
-    more = F.sort_array(F.array_except("mine", "its"))
+    more = F.array_except("mine", "its")
     # A shingle that the line lacks is told from one that it adds by its inverted bits.
-    less = F.sort_array(F.transform(F.array_except("its", "mine"), lambda x: F.bitwise_not(x)))
+    less = F.transform(F.array_except("its", "mine"), lambda x: F.bitwise_not(x))
     rows = rows.select(F.col("b").alias("lead"), F.col("a").alias("line"), F.col("part_a").alias("part"), (F.col("part_a") != F.col("part_b")).alias("loose"), F.size("mine").alias("own"), F.size("its").alias("its"), F.concat(more, less).alias("xs"))
     n = F.size("xs")
     least = F.greatest(F.ceil(n - q * F.col("own") * (1 + 1 / (1 - r)) - MARGIN), F.lit(1))
     under = F.greatest(least, F.ceil((n + q * (F.col("its") - F.col("own"))) / 2 - MARGIN))
     rows = rows.select("lead", "line", "part", "loose", "own", "xs", (n - least + 1).cast("int").alias("as_v"), (n - under + 1).cast("int").alias("as_w"))
-    firsts = F.slice("xs", F.lit(1), F.greatest(F.when(F.col("loose"), F.col("as_v")).otherwise(F.col("as_w")), F.lit(0)))
-    rows = rows.select("lead", "line", "part", "loose", "own", "as_w", F.posexplode(firsts).alias("place", "x"))
-    rows = scratch.keep(rows.select("lead", "x", "line", "part", "own", "loose", (F.col("place") < F.col("as_w")).alias("met")), "firsts")
+    taken = F.when(F.col("loose"), F.greatest("as_v", "as_w")).otherwise(F.col("as_w"))
+    rows = scratch.keep(rows.where(taken > 0).withColumn("taken", taken), "differences")
+    every = rows.select("lead", "line", "taken", F.explode("xs").alias("x"))
+    often = scratch.keep(every.groupBy("lead", "x").agg(F.count("*").alias("often")).where("often > 1"), "often", small=True)
+    # A difference that one line alone has meets nothing, but takes its place in the order.
+    order = Window.partitionBy("lead", "line").orderBy(F.coalesce("often", F.lit(1)), "x")
+    firsts = every.join(often, ["lead", "x"], "left").withColumn("place", F.row_number().over(order) - 1).where("place < taken and often > 1")
+    rows = firsts.select("lead", "line", "x", "place").join(rows.select("lead", "line", "part", "loose", "own", "as_v", "as_w"), ["lead", "line"])
+    rows = scratch.keep(rows.select("lead", "x", "line", "part", "own", (F.col("loose") & (F.col("place") < F.col("as_v"))).alias("loose"), (F.col("place") < F.col("as_w")).alias("met")), "firsts")
+    scratch.drop("differences", "often")
     v = rows.where("loose").select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"))
     w = rows.where("met").select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b"))
     shared = v.join(w, ["lead", "x"]).where("part_a <> part_b").where(F.least("own_a", "own_b") >= similarity * F.greatest("own_a", "own_b") - MARGIN)
@@ -259,7 +162,7 @@ def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: S
 def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, component) over lines that share a bucket of ``members`` (band, line, n) and are ``similarity`` alike.
 
-    The most frequent line leads a bucket. Each line is held against its most frequent lead first and, where that leaves them apart, against the leads of its other buckets. What is apart from a bucket's lead
+    The most frequent line leads a bucket. Each line is held against the leads of its buckets. What is apart from a bucket's lead
     chooses a new lead among itself, ROUNDS times. Two lines of a bucket that are still in different components are compared if the bucket is small; in a larger one they can only be alike if they
     share enough of their differences from the first lead (see ``_partners``), and these are compared. So every pair of a bucket is verified, ruled out, or connected, and links of one family cost comparisons in proportion to its lines.
     """
@@ -281,9 +184,8 @@ def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch
     def apart(rows: DataFrame) -> DataFrame:
         return _with_parts(rows, parts.now).where("part_a <> part_b").drop("part_a", "part_b")
 
-    if not hold(led.groupBy("a").agg(F.max_by("b", F.struct("of", (-F.col("b")).alias("at"))).alias("b")), "first"):
+    if not hold(led.select("a", "b").distinct(), "leads"):
         return parts.now
-    hold(apart(led.select("a", "b").distinct()), "others")
     left = apart(led)
     for k in range(ROUNDS):
         left = scratch.keep(left.select("band", "n", F.col("a").alias("line")), f"left{k}", small=True)
@@ -295,13 +197,13 @@ def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch
             scratch.drop(f"left{k - 1}")
     small = _with_parts(led.where(F.col("size") <= SMALL).select("band", "a", "b"), parts.now).select("band", F.col("a").alias("line"), F.col("part_a").alias("part"))
     small = scratch.keep(small, "small", small=True)
-    few = small.select("band", F.col("line").alias("a"), F.col("part").alias("p")).join(small.withColumnRenamed("line", "b"), "band").where("a < b and p <> part")
-    hold(few.select("a", "b").distinct(), "few")
+    rest = small.select("band", F.col("line").alias("a"), F.col("part").alias("p")).join(small.withColumnRenamed("line", "b"), "band").where("a < b and p <> part").select("a", "b")
     groups = _with_parts(led.where(F.col("size") > SMALL).select("a", "b").distinct(), parts.now)
     mixed = groups.groupBy("b").agg(F.min("part_a").alias("low"), F.max("part_a").alias("high")).where("low <> high").select("b")
     groups = scratch.keep(groups.join(mixed, "b", "left_semi"), "groups", small=True)
     if not groups.isEmpty():
-        hold(apart(_partners(groups, texts, similarity, scratch)), "shared-kept")
+        rest = rest.unionByName(_partners(groups, texts, similarity, scratch))
+    hold(rest.distinct(), "rest")
     return parts.now
 
 
@@ -321,7 +223,7 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = scratch.keep(_lines(docs, least).select("doc_id", "line_no", "line"), "lines")
     signed = scratch.keep(_signed(_lines(docs, least)), "signed", small=True)
-    # A line's rows, one for each kind of signature, have the same counts.
+    # All rows of a line have the same counts.
     distinct = scratch.keep(signed.groupBy("line").agg(F.max("n").alias("n"), F.min("min_doc").alias("min_doc")), "distinct", small=True)
     crowd = F.count("*").over(Window.partitionBy("band"))
     members = signed.select("line", F.explode("bands").alias("band")).withColumn("size", crowd).where("size > 1").select("band", "line")
