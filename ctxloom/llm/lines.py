@@ -151,9 +151,10 @@ def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: S
     rows = firsts.select("lead", "line", "x", "place").join(rows.select("lead", "line", "part", "loose", "own", "as_v", "as_w"), ["lead", "line"])
     rows = scratch.keep(rows.select("lead", "x", "line", "part", "own", (F.col("loose") & (F.col("place") < F.col("as_v"))).alias("loose"), (F.col("place") < F.col("as_w")).alias("met")), "firsts")
     scratch.drop("differences", "often")
-    v = rows.where("loose").select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"))
-    w = rows.where("met").select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b"))
-    shared = v.join(w, ["lead", "x"]).where("part_a <> part_b").where(F.least("own_a", "own_b") >= similarity * F.greatest("own_a", "own_b") - MARGIN)
+    v = rows.where("loose").select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"), F.col("met").alias("met_a"))
+    w = rows.where("met").select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b"), F.col("loose").alias("loose_b"))
+    # Where both directions of a pair meet in x, one of them is made.
+    shared = v.join(w, ["lead", "x"]).where("part_a <> part_b and (a < b or not (met_a and loose_b))").where(F.least("own_a", "own_b") >= similarity * F.greatest("own_a", "own_b") - MARGIN)
     shared = scratch.keep(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shared", small=True)
     scratch.drop("firsts")
     return shared
