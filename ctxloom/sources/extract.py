@@ -74,7 +74,7 @@ class Facts:
             if t.kind != "word" or k in self.declared or t.text in NOT_CALLED and not (s.lang == "rust" and t.text == "new") or t.text.startswith("@"):
                 continue
             n = s.skip_angles(k + 1)
-            if s.at(n) == "(":
+            if s.at(n) == "(" and not (t.text == "async" and _arrow_after(s, s.after(n))):
                 self.out["calls"].append({"callee": t.text, "line": t.line})
 
     def body_end(self, k: int) -> int:
@@ -102,11 +102,28 @@ def _head(s: Source, k: int) -> int:
     return k
 
 
+def _annotated_head(s: Source, k: int, opens: dict[int, int]) -> int:
+    """The first token of a declaration at k, annotations and attributes among its modifiers; ``opens`` maps closing brackets to opening ones."""
+    while True:
+        k = _head(s, k)
+        j = opens.get(k - 1, k)
+        if j < k and s.at(j) == "[":
+            k = j
+            continue
+        j -= 1
+        while j > 1 and s.at(j - 1) == ".":
+            j -= 2
+        if j < 0 or not s.at(j).startswith("@") or s.at(j) in ("@", "@interface"):
+            return k
+        k = j
+
+
 def _java_like(lang: str, text: str) -> dict:
     s = Source(lang, text)
     f = Facts(s)
     types = TYPES[lang]
     n = len(s.tokens)
+    opens = {close: open_ for open_, close in s.pair.items()}
     bodies: list[tuple[int, int, str]] = []
     for k in range(n):
         x = s.at(k)
@@ -123,7 +140,7 @@ def _java_like(lang: str, text: str) -> dict:
             name = k + 1 + (x == "record" and s.at(k + 1) in ("class", "struct"))
             if name in f.declared or s.at(k - 1) == "record":
                 continue
-            first, last = _head(s, k), f.body_end(name + 1)
+            first, last = _annotated_head(s, k, opens), f.body_end(name + 1)
             f.symbol(x, name, first, last, lang == "csharp" and "partial" in [s.at(j) for j in range(first, k)])
             open_ = next((j for j in range(name + 1, min(last + 1, n)) if s.at(j) == "{"), None)
             if open_ is not None:
@@ -145,6 +162,7 @@ def _members(f: Facts, open_: int, close: int, owner: str, lang: str) -> None:
     """Methods, constructors, fields and properties directly in a type's body."""
     s, k = f.s, open_ + 1
     while k < close:
+        start = k
         while k < close and (s.at(k).startswith("@") and len(s.at(k)) > 1 or lang == "csharp" and s.at(k) == "["):
             if s.at(k) == "[":
                 k = s.after(k)
@@ -173,19 +191,19 @@ def _members(f: Facts, open_: int, close: int, owner: str, lang: str) -> None:
             k = f.body_end(j + 1) + 1
         elif x == "(" and name is not None and name not in f.declared:
             end = f.body_end(s.after(j))
-            f.symbol("constructor" if s.at(name) == owner else "method", name, first, end)
+            f.symbol("constructor" if s.at(name) == owner else "method", name, start, end)
             k = end + 1
         elif x in ("=", ";", "=>") and name is not None and words >= 2:
             end = j
             while end < close and s.at(end) != ";":
                 end = s.after(end) if s.at(end) in ("(", "[", "{") else end + 1
-            f.symbol("property" if x == "=>" else "field", name, first, end)
+            f.symbol("property" if x == "=>" else "field", name, start, end)
             k = end + 1
         elif x == "{" and name is not None and words >= 2 and lang == "csharp":
             end = s.after(j) - 1
             if s.at(end + 1) == "=":
                 end = f.body_end(end + 1)
-            f.symbol("property", name, first, end)
+            f.symbol("property", name, start, end)
             k = end + 1
         elif x == "{":
             k = s.after(j)

@@ -133,3 +133,15 @@ def test_gitignore_of_folders_above(tmp_path):
     (tmp_path / ".gitignore").write_text("# rules\n*.gen.ts\n!keep.gen.ts\nsrc/secret.ts\nout/\ndocs/**/c.md\n/top.md\na[0-9].py\n")
     (tmp_path / "src" / "deep" / ".gitignore").write_text("!out/\n")
     assert list(list_tree(str(tmp_path))) == ["src/ab.py", "src/keep.gen.ts", "src/top.md", "src/deep/z.ts", "src/deep/out/y.ts"]
+
+
+def test_annotations_belong_to_their_declaration():
+    f = extract("java", "A.java", "/** The one. */\n@a.b.Service\n@Route(path = {\"x\"})\npublic class Shop {\n  @Get(\"/x\")\n  public int find() { return 1; }\n  int[] sizes;\n}\n")
+    assert [(s["name"], s["start_line"], s["signature"], s["doc"]) for s in f["symbols"]] == [("Shop", 2, "@a.b.Service", "/** The one. */"), ("find", 5, '@Get("/x")', None), ("sizes", 7, "int[] sizes;", None)]
+    f = extract("csharp", "a.cs", "// One.\n[Route(\"a\")]\n[Own]\npublic class A { [Key]\n public int Id { get; set; } }\n")
+    assert [(s["name"], s["start_line"], s["doc"]) for s in f["symbols"]] == [("A", 2, "// One."), ("Id", 4, None)]
+
+
+def test_async_arrows_are_not_calls():
+    f = extract("typescript", "a.ts", "const f = async (x: number): Promise<void> => { go(x) };\nasync(() => 1);\n")
+    assert [c["callee"] for c in f["calls"]] == ["go", "async"]
