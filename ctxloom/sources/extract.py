@@ -68,8 +68,27 @@ class Facts:
         if name and name != sub:
             self.out["supertypes"].append({"sub": sub, "super": name})
 
+    def attributes(self) -> set[int]:
+        """Places of the attributes' names in C#; their arguments look like those of calls."""
+        s, found, closed = self.s, set(), set()
+        for k in range(len(s.tokens)):
+            end = s.pair.get(k)
+            if s.at(k) != "[" or end is None or not (k == 0 or k - 1 in closed or s.at(k - 1) in ("{", "}", ";", "(", ",")):
+                continue
+            if s.at(end + 1) != "[" and not s.is_word(end + 1):
+                continue
+            closed.add(end)
+            j = k + 1
+            while j < end:
+                if s.at(j - 1) in ("[", ",", ".", ":") and s.is_word(j):
+                    found.add(j)
+                j = s.after(j) if s.at(j) in ("(", "[", "{") else j + 1
+        return found
+
     def calls(self) -> None:
         s = self.s
+        if s.lang == "csharp":
+            self.declared |= self.attributes()
         for k, t in enumerate(s.tokens):
             if t.kind != "word" or k in self.declared or t.text in NOT_CALLED and not (s.lang == "rust" and t.text == "new") or t.text.startswith("@"):
                 continue

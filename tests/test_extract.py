@@ -145,3 +145,8 @@ def test_annotations_belong_to_their_declaration():
 def test_async_arrows_are_not_calls():
     f = extract("typescript", "a.ts", "const f = async (x: number): Promise<void> => { go(x) };\nasync(() => 1);\n")
     assert [c["callee"] for c in f["calls"]] == ["go", "async"]
+
+
+def test_attributes_are_not_calls():
+    f = extract("csharp", "a.cs", "[Own(1), N.Other(2)][Last(3)]\nclass A { [Get(\"x\")] public X F([From(\"q\")] int a) { return b[g(1)][h(2)]; } }\n")
+    assert [c["callee"] for c in f["calls"]] == ["g", "h"]
