@@ -135,6 +135,7 @@ class ContextGraph:
 
     def __init__(self, spark: SparkSession, root: str, config: FS.Config):
         self.spark, self.config, self.store = spark, config, W.Store(spark, root)
+        self.freshness = D.Throttle(lambda: self.drift().first().asDict())
 
     def repos(self) -> dict[str, str]:
         return {Path(r).name or "repo": r for r in self.config.repos}
@@ -170,6 +171,7 @@ class ContextGraph:
         self.store.write(nodes, edges, metrics, D.cache_evict(cache, self.config.cache_bytes))
         for kept in (files, nodes, edges):
             kept.unpersist()
+        self.freshness.forget()
         return metrics
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
@@ -190,7 +192,9 @@ class ContextGraph:
         return P.rank_nodes(nodes, self.store.edges(), hits, now or int(time.time()), P.PackOptions(weights=self.config.rank))
 
     def pack(self, task: str, budget: int = 4000, now: int | None = None) -> dict:
-        return P.pack(self.store.nodes(), self.store.edges(), self.scan(), task, now or int(time.time()), P.PackOptions(budget=budget, weights=self.config.rank), self.config.terms)
+        """A pack for ``task``; if files have changed since they were indexed, stale_index says how many."""
+        found = P.pack(self.store.nodes(), self.store.edges(), self.scan(), task, now or int(time.time()), P.PackOptions(budget=budget, weights=self.config.rank), self.config.terms)
+        return D.with_stale_note(found, self.freshness.get())
 
     def impact(self, node: str) -> DataFrame:
         return impact(self.store.nodes(), self.store.edges(), self._one(node)).join(self.store.nodes(), "id")

@@ -49,6 +49,10 @@ class Throttle:
                 self.value = None
         return self.value
 
+    def forget(self) -> None:
+        """The next question measures anew."""
+        self.at = None
+
 
 def with_stale_note(answer: dict, row: dict | None) -> dict:
     behind = row and any(row[k] for k in ("changed", "added", "removed"))

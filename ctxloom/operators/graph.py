@@ -126,25 +126,28 @@ def _ranks_by_kernel(spark: SparkSession, nodes: DataFrame, live: DataFrame, see
 
 
 def _ranks_by_joins(nodes: DataFrame, live: DataFrame, seeds: list[str], damping: float, rounds: int) -> DataFrame:
+    """Rounds of one join and one aggregate each. A node without edges hands its rank to the seeds in the same pass, so that a round reads the one before once and plans grow by a round."""
     spark = nodes.sparkSession
+    stored = spark.conf.get("spark.checkpoint.dir", None) is not None
+    hold = lambda df: df.checkpoint() if stored else df.persist()
     both = live.select(F.col("src").alias("at"), F.col("dst").alias("to"), "w").unionByName(live.select(F.col("dst").alias("at"), F.col("src").alias("to"), "w"))
     pair = both.groupBy("at", "to").agg(F.sum("w").alias("w"))
     total = both.groupBy("at").agg(F.sum("w").alias("total")).where("total > 0")
-    share = pair.join(total, "at").select("at", "to", (F.col("w") / F.col("total")).alias("share")).persist()
     known = [r["id"] for r in nodes.where(F.col("id").isin(*seeds)).select("id").distinct().collect()] if seeds else []
     ids = nodes.select("id").distinct()
     if not known:
         return ids.withColumn("rank", F.lit(0.0))
+    share = hold(pair.join(total, "at").select("at", "to", (F.lit(damping) * F.col("w") / F.col("total")).alias("share")))
     shares = _seed_shares([s for s in seeds if s in known])
     restart = spark.createDataFrame(list(shares.items()), "id string, restart double")
-    base = ids.join(F.broadcast(restart), "id", "left").withColumn("restart", F.coalesce("restart", F.lit(0.0)))  # as many rows as seeds
-    base = base.join(total.select(F.col("at").alias("id"), F.lit(False).alias("tied")), "id", "left").withColumn("tied", F.coalesce("tied", F.lit(True))).persist()
+    base = hold(ids.join(F.broadcast(restart), "id", "left").withColumn("restart", F.coalesce("restart", F.lit(0.0))))  # as many rows as seeds
+    to_seeds = F.array(*(F.struct(F.lit(s).alias("id"), F.lit(float(x)).alias("part")) for s, x in shares.items()))
+    to_one = F.array(F.struct(F.col("to").alias("id"), F.col("share").alias("part")))
     ranks = base.select("id", F.col("restart").alias("rank"))
     for k in range(rounds):
-        got = share.join(ranks.withColumnRenamed("id", "at"), "at").groupBy(F.col("to").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        lost = base.where("tied").join(ranks, "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        nxt = base.join(got, "id", "left").crossJoin(F.broadcast(lost))  # lost is one row
-        ranks = nxt.select("id", (F.lit(damping) * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("restart") + F.col("lost") * F.col("restart")).alias("rank"))
-        if k % 4 == 3 and spark.conf.get("spark.checkpoint.dir", None):
+        flow = ranks.withColumnRenamed("id", "at").join(share, "at", "left").select("rank", F.inline(F.when(F.col("to").isNull(), to_seeds).otherwise(to_one)))
+        got = flow.groupBy("id").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
+        ranks = base.join(got, "id", "left").select("id", (F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("restart")).alias("rank"))
+        if k % 4 == 3 and stored:
             ranks = ranks.checkpoint()
     return ranks

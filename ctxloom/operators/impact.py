@@ -17,6 +17,6 @@ def impact(nodes: DataFrame, edges: DataFrame, start: DataFrame, callers: int =
     return role(a, "caller", callers).unionByName(role(b, "cross", cross)).unionByName(role(c, "test", callers))
 
 
-def impact_flat(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
-    """One list over all four kinds, both ways, two steps."""
-    return neighbors(nodes, edges, start, ("calls", "injects", "calls_api", "handles"), "both", 2)
+def impact_flat(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:
+    """One list over all four kinds, both ways, ``depth`` steps."""
+    return neighbors(nodes, edges, start, ("calls", "injects", "calls_api", "handles"), "both", depth)

@@ -62,6 +62,11 @@ def prune_orphans(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = (
     return nodes, edges
 
 
+def lookup(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows whose values are in ``keys``, whose columns name those compared; keys without a row give none."""
+    return rows.join(keys.distinct(), keys.columns, "left_semi").select(*columns)
+
+
 class Store:
     """Snapshots below a folder that all executors share."""
 
@@ -75,7 +80,7 @@ class Store:
     def state(self) -> dict:
         fs, path = self._path("current.json")
         if not fs.exists(path):
-            return {"schema_version": SCHEMA_VERSION, "snapshot": None, "metrics": None}
+            return {"schema_version": SCHEMA_VERSION, "snapshot": None, "metrics": None, "meta": {}}
         state = json.loads(self.spark.read.option("wholetext", True).text(path.toString()).first()[0])
         if state["schema_version"] != SCHEMA_VERSION:
             raise ValueError(f"the store has schema {state['schema_version']}, this engine {SCHEMA_VERSION}: rebuild the index")
@@ -83,16 +88,37 @@ class Store:
 
     def write(self, nodes: DataFrame, edges: DataFrame, metrics: dict | None = None, cache: DataFrame | None = None) -> None:
         """A new snapshot, nodes by kind, and the extraction cache that goes with it; the pointer changes once it stands."""
-        name = f"snapshot-{(int((self.state()['snapshot'] or 'snapshot-0').split('-')[1]) + 1):06d}"
+        state = self.state()
+        name = f"snapshot-{(int((state['snapshot'] or 'snapshot-0').split('-')[1]) + 1):06d}"
         nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{self.root}/{name}/nodes")
         edges.write.mode("overwrite").parquet(f"{self.root}/{name}/edges")
         if cache is not None:
             cache.write.mode("overwrite").parquet(f"{self.root}/{name}/cache")
+        self._point(state | {"snapshot": name, "metrics": metrics})
+
+    def _point(self, state: dict) -> None:
         fs, path = self._path("current.json")
         out = fs.create(path, True)
-        out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "snapshot": name, "metrics": metrics}).encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
 
+    def get_meta(self, key: str) -> str | None:
+        return self.state().get("meta", {}).get(key)
+
+    def set_meta(self, key: str, value: str) -> None:
+        """Keeps a value by its key, over a former one; new snapshots leave it as it is."""
+        state = self.state()
+        self._point(state | {"meta": state.get("meta", {}) | {key: value}})
+
+    def node(self, id: str) -> dict | None:
+        """The node with this id, if there is one."""
+        found = self.nodes().where(F.col("id") == id).first()
+        return found and found.asDict()
+
+    def file_hash(self, repo: str, path: str) -> str | None:
+        found = self.nodes().where((F.col("kind") == "file") & (F.col("repo") == repo) & (F.col("path") == path)).first()
+        return found and found["content_hash"]
+
     def nodes(self) -> DataFrame:
         name = self.state()["snapshot"]
         columns = [c.split()[0] for c in NODES.split(", ")]

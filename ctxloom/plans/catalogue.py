@@ -340,6 +340,13 @@ def q_modified_by(spark, sf):
     return H.modified_by(changes).select("src", "dst")
 
 
+@query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS kind FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def q_lookup_nodes(spark, sf):
+    """Nodes by their ids; ids come with repeats."""
+    nodes = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("kind"))
+    return W.lookup(nodes, t(spark, sf, "orders").select(F.col("o_custkey").alias("id")), ["id", "name", "kind"])
+
+
 # ---- store ----------------------------------------------------------------------------------------------------------
 
 

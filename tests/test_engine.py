@@ -92,6 +92,9 @@ def test_rank_of_a_path(spark):
         r = {x["id"]: x["rank"] for x in G.personalized_pagerank(nodes, edges, ["a"], rounds=25, kernel_edges=bound).collect()}
         assert (round(r["a"], 3), round(r["b"], 3), round(r["c"], 3), r["alone"]) == (0.583, 0.333, 0.083, 0.0)
     assert {x["rank"] for x in G.personalized_pagerank(nodes, edges, []).collect()} == {0.0}
+    # A seed without edges hands its rank to the seeds.
+    a, b = ({x["id"]: round(x["rank"], 12) for x in G.personalized_pagerank(nodes, edges, ["a", "alone"], rounds=6, kernel_edges=bound).collect()} for bound in (G.KERNEL_EDGES, 0))
+    assert a == b and a["alone"] > 0
 
 
 def test_upsert_and_prune(spark):
@@ -213,6 +216,26 @@ def test_questions(graph, tree):
     assert got["recall"] == 1.0 and got["packed"] <= 2000
 
 
+def test_lookups_metadata_and_stale_notes(graph, tree):
+    store, path = graph.store, "src/main/java/p/UserService.java"
+    node = store.node(f"file:shop/{path}")
+    assert node["kind"] == "file" and store.file_hash("shop", path) == node["content_hash"]
+    assert store.node("none") is None and store.file_hash("web", path) is None and store.get_meta("a") is None
+    store.set_meta("a", "1")
+    store.set_meta("b", "2")
+    store.set_meta("a", "3")
+    assert (store.get_meta("a"), store.get_meta("b")) == ("3", "2") and store.node(f"file:shop/{path}") == node
+    (tree / "shop" / "Fresh.java").write_text("class Fresh {}")
+    try:
+        graph.freshness.forget()
+        assert graph.pack("load user by id", budget=600)["stale_index"].endswith("1 added")
+    finally:
+        (tree / "shop" / "Fresh.java").unlink()
+    assert "stale_index" in graph.pack("load user by id", budget=600)  # the measurement still stands
+    graph.freshness.forget()
+    assert "stale_index" not in graph.pack("load user by id", budget=600)
+
+
 def test_config_and_cli(tree, tmp_path, capsys, monkeypatch):
     (tree / FS.SHARED_NAME).write_text('[index]\nmax_commits = 7\nmax_file_bytes = 5\n[rank]\nalpha = 1.5\n')
     c = FS.load_config(str(tree / FS.CONFIG_NAME))
