@@ -15,9 +15,10 @@ from ctxloom.llm.shared import Scratch, parallelism, unused
 SHINGLE, ROWS = 8, 5
 #: Corners that a shingle is held against, out of four times as many: its hash's two high bits choose them.
 TOGETHER = 10
-#: A line of MANY words or more is signed by the shingles at its words' starts, one of fewer than FEW by all its shingles. Lines in between have both signatures, so that
-#: lines of similar length share a kind.
-MANY, FEW = 24, 32
+#: Lines of fewer than FEW words are signed by all their shingles (kind 0), those of MANY to MORE - 1 by the shingles at their words' starts and middles (kind 1), those of MOST or more by
+#: the ones at their words' starts (kind 2). Lines in between have two signatures, so that lines of similar length share a kind and seldom miss a band. Fewer shingles a line would make bands of one or two frequent
+#: shingles, which lines that have nothing else in common share.
+MANY, FEW, MOST, MORE = 24, 40, 40, 64
 #: Words that a shingle at a word's start can reach into.
 REACH = 5
 #: Further rounds with a lead, and what rounding may do to a number of shingles.
@@ -26,6 +27,8 @@ ROUNDS, MARGIN = 1, 1e-9
 SMALL = 8
 #: Rows of two or three numbers are broadcast up to this number, beyond it they are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Likewise for the lines whose texts are read again, as without a broadcast all lines' texts are shuffled.
+MOST_TEXTS = 500_000
 #: Removed lines of a document that are broadcast; longer lists go by a shuffle.
 MOST_LINES = 100
 
@@ -45,14 +48,17 @@ def _signed(lines: DataFrame) -> DataFrame:
     """
     lines = lines.where("line is not null").groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("min_doc"), F.max("norm").alias("norm"))
     count = F.size(F.split("norm", " "))
-    kinds = F.when(count < MANY, F.array(F.lit(0))).when(count < FEW, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    kinds = F.filter(F.array(F.when(count < FEW, 0), F.when((count >= MANY) & (count < MORE), 1), F.when(count >= MOST, 2)), lambda kind: kind.isNotNull())
     words = F.when(count >= MANY, F.split("norm", " "))
     # In UTF-32 characters have fixed places. Both forms are made below the generators; in one select with them Spark would make them anew for every shingle.
     wide = F.when(count < FEW, F.encode("norm", "UTF-32"))
     rows = lines.select("n", "min_doc", "line", words.alias("words"), wide.alias("wide"), (F.char_length("norm") - SHINGLE).alias("last"), F.explode(kinds).alias("kind"))
-    places = F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.greatest("last", F.lit(0))).otherwise(F.size("words") - 1))
+    places = F.sequence(F.lit(0), F.when(F.col("kind") == 0, F.greatest("last", F.lit(0))).otherwise(F.size("words") * (3 - F.col("kind")) - 1))
     rows = rows.select("n", "min_doc", "line", "kind", "words", "wide", F.explode(places).alias("i"))
-    by_word = F.xxhash64(F.substring(F.concat_ws(" ", *(F.get("words", F.col("i") + k) for k in range(REACH))), 1, SHINGLE))
+    # Of kind 1 even places are words' starts, odd ones their middles.
+    word = F.when(F.col("kind") == 1, F.shiftright("i", 1)).otherwise(F.col("i"))
+    begin = F.when((F.col("kind") == 1) & (F.col("i") % 2 == 1), F.shiftright(F.char_length(F.get("words", word)) + 1, 1)).otherwise(0)
+    by_word = F.xxhash64(F.substring(F.concat_ws(" ", *(F.get("words", word + k) for k in range(REACH))), begin + 1, F.lit(SHINGLE)))
     by_place = F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * SHINGLE)))
     rows = rows.select("n", "min_doc", "line", "kind", F.shiftright(F.when(F.col("kind") == 0, by_place).otherwise(by_word), 32).cast("int").alias("h"))
     # The two high bits say which corners a shingle is held against: each row of an aggregate has few columns then.
@@ -87,10 +93,10 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return rows.select("a", "b", (F.col("common") >= similarity * (F.size("mine") + F.size("its") - F.col("common")) - MARGIN).alias("alike"))
 
 
-def _few(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``rows``, written; with a broadcast hint while they are few."""
+def _few(rows: DataFrame, scratch: Scratch, name: str, most: int) -> DataFrame:
+    """``rows``, written; with a broadcast hint while they are no more than ``most``."""
     rows = scratch.keep(rows, name, small=True)
-    return F.broadcast(rows) if rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rows
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def _with_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -231,7 +237,7 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     members = scratch.keep(members.join(distinct.select("line", "n"), "line").select("band", "line", "n"), "members", small=True)
     scratch.drop("signed")
     # Texts of the lines in these buckets, from the document that has each first.
-    wanted = _few(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), scratch, "wanted")
+    wanted = _few(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), scratch, "wanted", MOST_TEXTS)
     rows = _lines(docs, least).where("line is not null").join(wanted, "line").where("doc_id <=> of")
     texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")), "texts", small=True)
     parts = _components(members, texts, similarity, scratch)

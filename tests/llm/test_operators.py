@@ -318,6 +318,18 @@ def test_lines_share_a_band(spark, words_of_line):
     assert sum(bool(of[2 * k] & of[2 * k + 1]) for k in range(300)) >= 270
 
 
+def test_unlike_lines_seldom_share_a_band(spark):
+    """Lines of frequent words that have nothing else in common: their buckets would grow with the square of the corpus."""
+    rng = random.Random(17)
+    parts = ["an", "th", "he", "er", "on", "tion", "re", "ha", "es", "ing", "st", "or"]
+    often = ["the", "of", "and", "to", "in", "that", "is", "was", "for", "with"]
+    word = lambda: rng.choice(often) if rng.random() < 0.5 else "".join(rng.choice(parts) for _ in range(rng.randrange(2, 5)))
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(32, 48)))) for k in range(2000)]
+    bands = lines._signed(lines._lines(spark.createDataFrame(rows, "doc_id long, text string"), 20)).select("line", F.explode("bands").alias("band")).distinct()
+    pairs = bands.groupBy("band").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    assert pairs <= 40
+
+
 # ---- 4 ----
 
 
