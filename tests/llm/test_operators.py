@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ctxloom.llm import graph_index, lines, lm, mixing, order_minhash, packing, passages, simhash, tokens, toxicity
+from ctxloom.llm import anchors, graph_index, lines, lm, mixing, order_minhash, packing, passages, simhash, tokens, toxicity
 from ctxloom.llm.components import connected_components
 from ctxloom.llm.shared import Scratch
 from ctxloom.llm.suffixes import deep_shallow_sort
@@ -587,6 +588,23 @@ def test_passages_edges(odd, nothing):
     assert passages.repeated_passages(nothing).count() == 0
 
 
+def test_anchors_of_slices(monkeypatch):
+    """Slices give what the whole text gives, and a block of 4 MB takes little beside its text."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 100, 4 << 20).astype(np.uint8)
+    starts = np.r_[0, np.sort(rng.integers(0, 20_000, 60)), 19_990, 19_990]
+    want = anchors.anchors(text[:20_000], starts, 50, 20)
+    for size in (64, 997):
+        monkeypatch.setattr(anchors, "SLICE", size, raising=False)
+        assert all(np.array_equal(x, y) for x, y in zip(anchors.anchors(text[:20_000], starts, 50, 20), want, strict=True))
+    monkeypatch.undo()
+    tracemalloc.start()
+    anchors.anchors(text, np.arange(0, len(text), 2000), 50, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20, peak
+
+
 def test_deep_shallow_sort():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 300):
