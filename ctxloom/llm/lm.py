@@ -133,9 +133,15 @@ def _counts(tokens: Tokens, answers: dict[int, bytes], fold: bool) -> tuple[list
 
 
 def estimates(tokens: Tokens, counts: list[np.ndarray], n_docs: int, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, shares): the context's frequency bucket, and the estimates of orders 3, 2 and 1 (0 where the context is new)."""
+    """(bucket, shares): the context's frequency bucket, and the estimates of orders 3, 2 and 1 (0 where the context is new).
+
+    A count that holds another n-gram's (see ``_trims``) can exceed its context's, which is its bound: no share is above 1.
+    """
     one, two, three = counts
-    context, wide = tokens.before(one, n_docs), tokens.before(two, n_docs)
+    context = tokens.before(one, n_docs)
+    two = np.minimum(two, context)
+    wide = tokens.before(two, n_docs)
+    three = np.minimum(three, wide)
     shares = np.stack((three / np.maximum(wide, 1), two / np.maximum(context, 1), one / max(n_tokens, 1)))
     level = lambda c, most: np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64), most - 1)
     bucket = np.where(wide > 0, level(wide, PAIR_BUCKETS), np.where(context > 0, PAIR_BUCKETS + level(context, WORD_BUCKETS), PAIR_BUCKETS + WORD_BUCKETS))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ctxloom.llm import anchors, graph_index, lines, lm, mixing, order_minhash, packing, passages, simhash, tokens, toxicity
+from ctxloom.llm.blocks import Block, squeeze
 from ctxloom.llm.components import connected_components
 from ctxloom.llm.shared import Scratch
 from ctxloom.llm.suffixes import deep_shallow_sort
@@ -407,6 +408,18 @@ def test_lm(docs, texts, odd, nothing):
     assert lm.score_corpus(nothing).count() == 0 and lm.score_corpus(odd).count() == 5
 
 
+def test_lm_bounds_shared_counts():
+    """On large tables some n-grams share a count, which can then exceed the context's: no share is above 1, and weights are learned."""
+    text = b"one two three four"
+    tokens = lm.Tokens(Block(squeeze(np.array([1]), np.array([len(text)]), text)))
+    counts = [np.ones(5, np.int64), np.array([1, 1, 3, 1, 1]), np.array([1, 2, 1, 5, 1])]
+    bucket, shares = lm.estimates(tokens, counts, 1, 5)
+    assert shares.max() == 1
+    grid = lm._on_grid(shares)
+    weights = lm.learn_weights(((bucket * lm.GRID + grid[0]) * lm.GRID + grid[1]) * lm.GRID + grid[2], np.ones(5, np.int64), 0.1)
+    assert weights.sum(axis=1) == pytest.approx(1)
+
+
 def test_lm_sums_to_one():
     """Over all words and the end, and one unknown word's share for each possible unknown, probabilities of a context add to one."""
     weights = lm.learn_weights(np.empty(0, np.int64), np.empty(0), 0.1)
