@@ -129,12 +129,15 @@ class _Parts:
 
 
 def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b): pairs of lines of one lead in ``groups`` (a: line, b: lead, part_a, part_b) that can be alike and are in different components.
+    """(a, b, shared): pairs of lines of one lead in ``groups`` (a: line, b: lead, part_a, part_b) that can be alike and are in different components.
 
     One line of such a pair, v, is loose: in another component than the lead, and so more than r = 1 - ``similarity`` from it. Let D be a line's set of differences from the lead (shingles that one has
     and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s differences apart, s being those they share, and within r only if that is at most q (|A(v)| + |A(w)|),
     q = r / (2 - r). So s >= |D(w)| - q (|A(v)| + |A(w)|), likewise for v, and as |D(v)| > q (|A(v)| + |L|), also s >= (|D(w)| + q (|L| - |A(w)|)) / 2. Two sets that share s elements share one
     among the first |D| - s + 1 of each in any one order, at most about a quarter of |A| here. The order takes the differences that the fewest lines of the lead have first, so that few lines meet by chance.
+
+    Of a pair that meets, all common differences up to the last one in these parts are known: m of them. With what either line has left after that one, s is at most m + the smaller rest; a pair for which that is less than
+    (|D(v)| + |D(w)| - q (|A(v)| + |A(w)|)) / 2 is not alike, and is not returned. ``shared`` is the largest m.
     """
     r = 1 - similarity
     q = r / (2 - r)
@@ -154,14 +157,18 @@ def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: S
     # A difference that one line alone has meets nothing, but takes its place in the order.
     order = Window.partitionBy("lead", "line").orderBy(F.coalesce("often", F.lit(1)), "x")
     firsts = every.join(often, ["lead", "x"], "left").withColumn("place", F.row_number().over(order) - 1).where("place < taken and often > 1")
-    rows = firsts.select("lead", "line", "x", "place").join(rows.select("lead", "line", "part", "loose", "own", "as_v", "as_w"), ["lead", "line"])
-    rows = scratch.keep(rows.select("lead", "x", "line", "part", "own", (F.col("loose") & (F.col("place") < F.col("as_v"))).alias("loose"), (F.col("place") < F.col("as_w")).alias("met")), "firsts")
+    rows = firsts.select("lead", "line", "x", "place").join(rows.select("lead", "line", "part", "loose", "own", "as_v", "as_w", F.size("xs").alias("n")), ["lead", "line"])
+    rows = scratch.keep(rows.select("lead", "x", "line", "part", "own", "n", (F.col("n") - F.col("place") - 1).alias("rest"), (F.col("loose") & (F.col("place") < F.col("as_v"))).alias("loose"), (F.col("place") < F.col("as_w")).alias("met")), "firsts")
     scratch.drop("differences", "often")
-    v = rows.where("loose").select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"), F.col("met").alias("met_a"))
-    w = rows.where("met").select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b"), F.col("loose").alias("loose_b"))
+    v = rows.where("loose").select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("met").alias("met_a"))
+    w = rows.where("met").select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("loose").alias("loose_b"))
     # Where both directions of a pair meet in x, one of them is made.
     shared = v.join(w, ["lead", "x"]).where("part_a <> part_b and (a < b or not (met_a and loose_b))").where(F.least("own_a", "own_b") >= similarity * F.greatest("own_a", "own_b") - MARGIN)
-    shared = scratch.keep(shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shared", small=True)
+    need = (F.col("n_a") + F.col("n_b") - q * (F.col("own_a") + F.col("own_b"))) / 2 - MARGIN
+    shared = shared.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("rest_a", "rest_b").alias("rest"), need.alias("need"))
+    shared = shared.groupBy("lead", "a", "b").agg(F.count("*").alias("m"), F.min("rest").alias("rest"), F.max("need").alias("need"))
+    shared = shared.groupBy("a", "b").agg(F.max("m").alias("shared"), F.bool_and(F.col("m") + F.col("rest") >= F.col("need")).alias("can")).where("can").drop("can")
+    shared = scratch.keep(shared, "shared", small=True)
     scratch.drop("firsts")
     return shared
 
@@ -169,7 +176,7 @@ def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: S
 def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, component) over lines that share a bucket of ``members`` (band, line, n) and are ``similarity`` alike.
 
-    The most frequent line leads a bucket. Each line is held against the leads of its buckets. What is apart from a bucket's lead
+    The most frequent line leads a bucket. Each line is held against the lead that it shares most buckets with, then against those of its other leads that are in another component. What is apart from a bucket's lead
     chooses a new lead among itself, ROUNDS times. Two lines of a bucket that are still in different components are compared if the bucket is small; in a larger one they can only be alike if they
     share enough of their differences from the first lead (see ``_partners``), and these are compared. So every pair of a bucket is verified, ruled out, or connected, and links of one family cost comparisons in proportion to its lines.
     """
@@ -191,8 +198,14 @@ def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch
     def apart(rows: DataFrame) -> DataFrame:
         return _with_parts(rows, parts.now).where("part_a <> part_b").drop("part_a", "part_b")
 
-    if not hold(led.select("a", "b").distinct(), "leads"):
+    # First the lead that a line shares most buckets with: within a family that is mostly enough, and the other leads are connected to the line by then.
+    best = F.max(F.struct("shared", "of", (-F.col("b")).alias("at"))).over(Window.partitionBy("a"))
+    pairs = led.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("of").alias("of")).withColumn("best", -best["at"] == F.col("b"))
+    pairs = scratch.keep(pairs.select("a", "b", "best"), "pairs", small=True)
+    if not hold(pairs.where("best").select("a", "b"), "leads"):
         return parts.now
+    hold(apart(pairs.where("not best").select("a", "b")), "others")
+    scratch.drop("pairs")
     left = apart(led)
     for k in range(ROUNDS):
         left = scratch.keep(left.select("band", "n", F.col("a").alias("line")), f"left{k}", small=True)
@@ -204,13 +217,19 @@ def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch
             scratch.drop(f"left{k - 1}")
     small = _with_parts(led.where(F.col("size") <= SMALL).select("band", "a", "b"), parts.now).select("band", F.col("a").alias("line"), F.col("part_a").alias("part"))
     small = scratch.keep(small, "small", small=True)
-    rest = small.select("band", F.col("line").alias("a"), F.col("part").alias("p")).join(small.withColumnRenamed("line", "b"), "band").where("a < b and p <> part").select("a", "b")
+    rest = small.select("band", F.col("line").alias("a"), F.col("part").alias("p")).join(small.withColumnRenamed("line", "b"), "band").where("a < b and p <> part").select("a", "b", F.lit(0).cast("long").alias("shared"))
     groups = _with_parts(led.where(F.col("size") > SMALL).select("a", "b").distinct(), parts.now)
     mixed = groups.groupBy("b").agg(F.min("part_a").alias("low"), F.max("part_a").alias("high")).where("low <> high").select("b")
     groups = scratch.keep(groups.join(mixed, "b", "left_semi"), "groups", small=True)
     if not groups.isEmpty():
         rest = rest.unionByName(_partners(groups, texts, similarity, scratch))
-    hold(rest.distinct(), "rest")
+    # Of these, too, first the pair that shares most for each line, as within a family few links connect the others.
+    rest = rest.groupBy("a", "b").agg(F.max("shared").alias("shared"))
+    most = [F.max(F.struct("shared", x)).over(Window.partitionBy(y))[x] == F.col(x) for x, y in (("b", "a"), ("a", "b"))]
+    rest = scratch.keep(rest.withColumn("best", most[0] | most[1]).select("a", "b", "best"), "partners", small=True)
+    if hold(rest.where("best").select("a", "b"), "best"):
+        hold(apart(rest.where("not best").select("a", "b")), "rest")
+    scratch.drop("partners")
     return parts.now
 
 

@@ -293,6 +293,30 @@ def test_lines_of_a_family_against_brute_force(spark, monkeypatch):
     assert {k: got.get(k, k) for k in norms} == {k: want.top(k) for k in norms} and len(set(map(want.top, norms))) > 6
 
 
+def test_lines_of_a_family_that_share_few_differences(spark, monkeypatch):
+    """Lines that change parts of one lead in the same ways, but seldom the same parts: few of the pairs that share a change are compared, and components are as of all pairs."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    parts, other = [letters(20) for _ in range(20)], [letters(20) for _ in range(20)]
+    norms = {1: "".join(parts)}
+    changed = [rng.sample(range(20), 6) for _ in range(70)]
+    changed += [[*x, next(i for i in range(20) if i not in x)] for x in changed[:10]]
+    for k, of in enumerate(changed, start=2):
+        norms[k] = "".join(other[i] if i in of else x for i, x in enumerate(parts))
+    sets = {k: {x[i : i + 8] for i in range(len(x) - 7)} for k, x in norms.items()}
+    want = Sets(norms)
+    for a in norms:
+        for b in range(1, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want.join(a, b)
+    compared, alike = [], lines._alike
+    monkeypatch.setattr(lines, "_alike", lambda pairs, *rest: compared.append(pairs.count()) or alike(pairs, *rest))
+    members = spark.createDataFrame([(0, k, 9 if k == 1 else 1) for k in norms], "band long, line long, n long")
+    got = {r["node"]: r["component"] for r in lines._components(members, spark.createDataFrame([*norms.items()], "line long, norm string"), 0.8, Scratch(spark, "t")).collect()}
+    assert {k: got.get(k, k) for k in norms} == {k: want.top(k) for k in norms} and len(set(map(want.top, norms))) <= len(norms) - 10
+    assert sum(compared) < 10 * len(norms), compared
+
+
 @pytest.mark.parametrize("words_of_line", [4, 12, 22, 26, 36, 80, 300])
 def test_lines_share_a_band(spark, words_of_line):
     """Of pairs at a likeness of 0.8 to 0.85, short, middle and long, nine of ten or more share a band."""
