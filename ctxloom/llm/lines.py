@@ -6,6 +6,7 @@ bands of it find candidates, whole shingle sets verify them, and connected compo
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ ROUNDS, MARGIN = 1, 1e-9
 SMALL = 8
 #: Rows of two or three numbers are broadcast up to this number, beyond it they are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Links (two numbers each) that the driver joins by itself; more take rounds of joins.
+MOST_LINKS = 50_000
 #: Likewise for the lines whose texts are read again, as without a broadcast all lines' texts are shuffled.
 MOST_TEXTS = 500_000
 #: Removed lines of a document that are broadcast; longer lists go by a shuffle.
@@ -41,15 +44,17 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """Rows (line, n, min_doc, bands) of the distinct lines' signatures: a hash for each run of ROWS least values; n is how often a line occurs, min_doc where first.
+    """(line, n, min_doc, bands), one row for each distinct line; bands has a hash for each run of ROWS least values, n is how often a line occurs, min_doc where first.
 
     The hash of a shingle, XORed with a corner, is its distance from that corner, and each corner keeps its least one. Corners differ in their high bits, so each looks at
     shingles of its own where there are enough. Equal lines become one before they are dealt; shingles stay in the task of their line, so that no signature is shuffled.
     """
     lines = lines.where("line is not null").groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("min_doc"), F.max("norm").alias("norm"))
-    count = F.size(F.split("norm", " "))
-    kinds = F.filter(F.array(F.when(count < FEW, 0), F.when((count >= MANY) & (count < MORE), 1), F.when(count >= MOST, 2)), lambda kind: kind.isNotNull())
-    words = F.when(count >= MANY, F.split("norm", " "))
+    # Split once, and without lambdas, which would have this generator interpreted.
+    lines = lines.withColumn("split", F.split("norm", " ")).withColumn("count", F.size("split"))
+    count, of = F.col("count"), lambda *kinds: F.array(*map(F.lit, kinds))
+    kinds = F.when(count < MANY, of(0)).when(count < FEW, of(0, 1)).when(count < MOST, of(1)).when(count < MORE, of(1, 2)).otherwise(of(2))
+    words = F.when(count >= MANY, F.col("split"))
     # In UTF-32 characters have fixed places. Both forms are made below the generators; in one select with them Spark would make them anew for every shingle.
     wide = F.when(count < FEW, F.encode("norm", "UTF-32"))
     rows = lines.select("n", "min_doc", "line", words.alias("words"), wide.alias("wide"), (F.char_length("norm") - SHINGLE).alias("last"), F.explode(kinds).alias("kind"))
@@ -58,7 +63,11 @@ def _signed(lines: DataFrame) -> DataFrame:
     # Of kind 1 even places are words' starts, odd ones their middles.
     word = F.when(F.col("kind") == 1, F.shiftright("i", 1)).otherwise(F.col("i"))
     begin = F.when((F.col("kind") == 1) & (F.col("i") % 2 == 1), F.shiftright(F.char_length(F.get("words", word)) + 1, 1)).otherwise(0)
-    by_word = F.xxhash64(F.substring(F.concat_ws(" ", *(F.get("words", word + k) for k in range(REACH))), begin + 1, F.lit(SHINGLE)))
+    # Two words mostly hold the shingle.
+    joined = lambda reach: F.concat_ws(" ", *(F.get("words", word + k) for k in range(reach)))
+    rows = rows.select("n", "min_doc", "line", "kind", "words", "wide", "i", F.when(F.col("kind") > 0, begin).alias("begin"), F.when(F.col("kind") > 0, joined(2)).alias("two"))
+    text = F.when(F.char_length("two") >= F.col("begin") + SHINGLE, F.col("two")).otherwise(joined(REACH))
+    by_word = F.xxhash64(F.substring(text, F.col("begin") + 1, F.lit(SHINGLE)))
     by_place = F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * SHINGLE)))
     rows = rows.select("n", "min_doc", "line", "kind", F.shiftright(F.when(F.col("kind") == 0, by_place).otherwise(by_word), 32).cast("int").alias("h"))
     # The two high bits say which corners a shingle is held against: each row of an aggregate has few columns then.
@@ -68,14 +77,19 @@ def _signed(lines: DataFrame) -> DataFrame:
     rows = rows.select("n", "min_doc", "line", "kind", part.cast("byte").alias("part"), inside.alias("h"))
     least = [F.min(F.col("h").bitwiseXOR(F.lit(c).cast("short"))).alias(f"m{k}") for k, c in enumerate(corners)]
     rows = rows.groupBy("line", "kind", "part").agg(F.max("n").alias("n"), F.min("min_doc").alias("min_doc"), *least)
-    bands = F.array(*(F.xxhash64("kind", "part", F.lit(b), *(F.col(f"m{b * ROWS + k}") for k in range(ROWS))) for b in range(TOGETHER // ROWS)))
-    return rows.select("line", "n", "min_doc", bands.alias("bands"))
+    bands = [F.xxhash64("kind", "part", F.lit(b), *(F.col(f"m{b * ROWS + k}") for k in range(ROWS))) for b in range(TOGETHER // ROWS)]
+    rows = rows.select("line", "n", "min_doc", (F.col("kind") * 4 + F.col("part")).alias("slot"), *(band.alias(f"b{b}") for b, band in enumerate(bands)))
+    # One row a line, in the same task.
+    slots = [(slot, b) for slot in range(12) for b in range(len(bands))]
+    rows = rows.groupBy("line").agg(F.max("n").alias("n"), F.min("min_doc").alias("min_doc"), *(F.max(F.when(F.col("slot") == slot, F.col(f"b{b}"))).alias(f"s{slot}_{b}") for slot, b in slots))
+    return rows.select("line", "n", "min_doc", F.array_compact(F.array(*(f"s{slot}_{b}" for slot, b in slots))).alias("bands"))
 
 
 def _shingle_set(text: Column) -> Column:
     """Hashes of the distinct shingles of a normalised line; a line shorter than one is its own."""
     last = F.greatest(F.char_length(text) - SHINGLE, F.lit(0))
-    every = F.transform(F.array(F.encode(text, "UTF-32")), lambda wide: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))))
+    places = F.sequence(F.lit(1), last * 4 + 1, F.lit(4))
+    every = F.transform(F.array(F.encode(text, "UTF-32")), lambda wide: F.transform(places, lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * SHINGLE)))))
     return F.array_distinct(F.get(every, F.lit(0)))
 
 
@@ -107,6 +121,21 @@ def _with_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, component), as ``connected_components`` has it, of links (src, dst) that are few enough for the driver."""
+    rows, up = links.toArrow(), {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in zip(rows["src"].to_pylist(), rows["dst"].to_pylist(), strict=True):
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    return links.sparkSession.createDataFrame(pa.table({"node": pa.array(list(up), pa.int64()), "component": pa.array([top(x) for x in list(up)], pa.int64())}))
+
+
 class _Parts:
     """Components that grow: links join components, of which only those that change are looked at."""
 
@@ -116,28 +145,42 @@ class _Parts:
 
     def add(self, pairs: DataFrame) -> bool:
         """Joins what ``pairs`` (a, b) link; false if they link nothing new."""
-        links = self.scratch.keep(_with_parts(pairs, self.now).where("part_a <> part_b").select(F.col("part_a").alias("src"), F.col("part_b").alias("dst")).distinct(), f"links{self.k}", small=True)
-        if links.isEmpty():
+        links = self.scratch.keep(_with_parts(pairs, self.now).where("part_a <> part_b").select(F.col("part_a").alias("src"), F.col("part_b").alias("dst")).distinct(), f"links{self.k}")
+        found = links.limit(MOST_LINKS + 1).count()
+        if not found:
             return False
-        moved = connected_components(links, self.scratch).withColumnRenamed("component", "to")
+        moved = (F.broadcast(_joined(links)) if found <= MOST_LINKS else connected_components(links, self.scratch)).withColumnRenamed("component", "to")
         old = self.now.join(moved.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         fresh = moved.join(self.now, "node", "left_anti").select("node", F.col("to").alias("component"))
-        self.now = self.scratch.keep(old.unionByName(fresh), f"parts{self.k}", small=True)
+        self.now = _few(old.unionByName(fresh), self.scratch, f"parts{self.k}", MOST_BROADCAST)
         self.scratch.drop(f"links{self.k}", *([f"parts{self.k - 1}"] if self.k else []))
         self.k += 1
         return True
 
 
+def _meetings(rows: DataFrame, similarity: float) -> DataFrame:
+    """(lead, a, b): a row for each difference in which a pair of ``rows`` meets and after which either line has as many left as the pair needs; see ``_partners``."""
+    q = (1 - similarity) / (1 + similarity)
+    v = rows.where("loose").select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("met").alias("met_a"))
+    w = rows.where("met").select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("loose").alias("loose_b"))
+    need = (F.col("n_a") + F.col("n_b") - q * (F.col("own_a") + F.col("own_b"))) / 2 - MARGIN
+    # Where both directions of a pair meet in x, one of them is made.
+    shared = v.join(w, ["lead", "x"]).where("part_a <> part_b and (a < b or not (met_a and loose_b))").where(F.least("own_a", "own_b") >= similarity * F.greatest("own_a", "own_b") - MARGIN)
+    shared = shared.where(F.least("rest_a", "rest_b") + 1 >= need)
+    return shared.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b, shared): pairs of lines of one lead in ``groups`` (a: line, b: lead, part_a, part_b) that can be alike and are in different components.
+    """(a, b): pairs of lines of one lead in ``groups`` (a: line, b: lead, part_a, part_b) that are alike and in different components.
 
     One line of such a pair, v, is loose: in another component than the lead, and so more than r = 1 - ``similarity`` from it. Let D be a line's set of differences from the lead (shingles that one has
     and the other lacks) and A its shingles, L the lead's. Lines v and w are |D(v)| + |D(w)| - 2 s differences apart, s being those they share, and within r only if that is at most q (|A(v)| + |A(w)|),
     q = r / (2 - r). So s >= |D(w)| - q (|A(v)| + |A(w)|), likewise for v, and as |D(v)| > q (|A(v)| + |L|), also s >= (|D(w)| + q (|L| - |A(w)|)) / 2. Two sets that share s elements share one
     among the first |D| - s + 1 of each in any one order, at most about a quarter of |A| here. The order takes the differences that the fewest lines of the lead have first, so that few lines meet by chance.
 
-    Of a pair that meets, all common differences up to the last one in these parts are known: m of them. With what either line has left after that one, s is at most m + the smaller rest; a pair for which that is less than
-    (|D(v)| + |D(w)| - q (|A(v)| + |A(w)|)) / 2 is not alike, and is not returned. ``shared`` is the largest m.
+    Both lines of a pair that meets are known, and so is what they have to share: s >= t = (|D(v)| + |D(w)| - q (|A(v)| + |A(w)|)) / 2. In the one order of the lead, s elements are shared only if the first shared one, and
+    maybe more, has t - 1 or more after it in either line. So the join makes no row where either line has fewer left, and the lead's own text, which many lines lack alike and which comes last, joins none of them.
+    The pairs that meet are few then, and s, and with it their exact likeness, is had from their lists of differences.
     """
     r = 1 - similarity
     q = r / (2 - r)
@@ -151,64 +194,55 @@ def _partners(groups: DataFrame, texts: DataFrame, similarity: float, scratch: S
     under = F.greatest(least, F.ceil((n + q * (F.col("its") - F.col("own"))) / 2 - MARGIN))
     rows = rows.select("lead", "line", "part", "loose", "own", "xs", (n - least + 1).cast("int").alias("as_v"), (n - under + 1).cast("int").alias("as_w"))
     taken = F.when(F.col("loose"), F.greatest("as_v", "as_w")).otherwise(F.col("as_w"))
-    rows = scratch.keep(rows.where(taken > 0).withColumn("taken", taken), "differences")
-    every = rows.select("lead", "line", "taken", F.explode("xs").alias("x"))
-    often = scratch.keep(every.groupBy("lead", "x").agg(F.count("*").alias("often")).where("often > 1"), "often", small=True)
+    lines = rows = scratch.keep(rows.where(taken > 0).withColumn("taken", taken), "differences")
+    every = rows.select("lead", "line", "part", "loose", "own", "as_v", "as_w", "taken", F.size("xs").alias("n"), F.explode("xs").alias("x"))
+    often = scratch.keep(every.groupBy("lead", "x").agg(F.count("*").alias("often")).where("often > 1"), "often")
     # A difference that one line alone has meets nothing, but takes its place in the order.
     order = Window.partitionBy("lead", "line").orderBy(F.coalesce("often", F.lit(1)), "x")
-    firsts = every.join(often, ["lead", "x"], "left").withColumn("place", F.row_number().over(order) - 1).where("place < taken and often > 1")
-    rows = firsts.select("lead", "line", "x", "place").join(rows.select("lead", "line", "part", "loose", "own", "as_v", "as_w", F.size("xs").alias("n")), ["lead", "line"])
+    rows = every.join(often, ["lead", "x"], "left").withColumn("place", F.row_number().over(order) - 1).where("place < taken and often > 1")
     rows = scratch.keep(rows.select("lead", "x", "line", "part", "own", "n", (F.col("n") - F.col("place") - 1).alias("rest"), (F.col("loose") & (F.col("place") < F.col("as_v"))).alias("loose"), (F.col("place") < F.col("as_w")).alias("met")), "firsts")
-    scratch.drop("differences", "often")
-    v = rows.where("loose").select("lead", "x", F.col("line").alias("a"), F.col("part").alias("part_a"), F.col("own").alias("own_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("met").alias("met_a"))
-    w = rows.where("met").select("lead", "x", F.col("line").alias("b"), F.col("part").alias("part_b"), F.col("own").alias("own_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("loose").alias("loose_b"))
-    # Where both directions of a pair meet in x, one of them is made.
-    shared = v.join(w, ["lead", "x"]).where("part_a <> part_b and (a < b or not (met_a and loose_b))").where(F.least("own_a", "own_b") >= similarity * F.greatest("own_a", "own_b") - MARGIN)
-    need = (F.col("n_a") + F.col("n_b") - q * (F.col("own_a") + F.col("own_b"))) / 2 - MARGIN
-    shared = shared.select("lead", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("rest_a", "rest_b").alias("rest"), need.alias("need"))
-    shared = shared.groupBy("lead", "a", "b").agg(F.count("*").alias("m"), F.min("rest").alias("rest"), F.max("need").alias("need"))
-    shared = shared.groupBy("a", "b").agg(F.max("m").alias("shared"), F.bool_and(F.col("m") + F.col("rest") >= F.col("need")).alias("can")).where("can").drop("can")
-    shared = scratch.keep(shared, "shared", small=True)
-    scratch.drop("firsts")
+    scratch.drop("often")
+    shared = _meetings(rows, similarity)
+    shared = scratch.keep(shared.distinct(), "met")
+    for x in ("a", "b"):
+        shared = shared.join(lines.select("lead", F.col("line").alias(x), F.col("own").alias(f"own_{x}"), F.col("xs").alias(f"xs_{x}")), ["lead", x])
+    own = F.col("own_a") + F.col("own_b")
+    common = (own - F.size("xs_a") - F.size("xs_b")) / 2 + F.size(F.array_intersect("xs_a", "xs_b"))
+    shared = scratch.keep(shared.where(common >= similarity * (own - common) - MARGIN).select("a", "b").distinct(), "shared")
+    scratch.drop("differences", "firsts", "met")
     return shared
 
 
 def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, component) over lines that share a bucket of ``members`` (band, line, n) and are ``similarity`` alike.
 
-    The most frequent line leads a bucket. Each line is held against the lead that it shares most buckets with, then against those of its other leads that are in another component. What is apart from a bucket's lead
-    chooses a new lead among itself, ROUNDS times. Two lines of a bucket that are still in different components are compared if the bucket is small; in a larger one they can only be alike if they
-    share enough of their differences from the first lead (see ``_partners``), and these are compared. So every pair of a bucket is verified, ruled out, or connected, and links of one family cost comparisons in proportion to its lines.
+    The most frequent line leads a bucket. Each line is held against all its leads. Of a large bucket, what is apart from the lead chooses a new lead among itself, ROUNDS times. Two lines of a bucket
+    that are still in different components are compared if the bucket is small; in a larger one they can only be alike if they share enough of their differences from the first lead (see ``_partners``),
+    and these are compared. So every pair of a bucket is verified, ruled out, or connected, and links of one family cost comparisons in proportion to its lines.
     """
     parts = _Parts(members.sparkSession, scratch)
     bucket = Window.partitionBy("band")
     top = F.max(F.struct("n", (-F.col("line")).alias("at"))).over(bucket)
     size = F.count("*").over(bucket)
-    led = members.withColumn("top", top).withColumn("size", size).select("band", "n", "size", F.col("line").alias("a"), (-F.col("top.at")).alias("b"), F.col("top.n").alias("of")).where("a <> b")
-    led = scratch.keep(led, "led", small=True)
+    led = members.withColumn("top", top).withColumn("size", size).select("band", "n", "size", F.col("line").alias("a"), (-F.col("top.at")).alias("b")).where("a <> b")
+    led = scratch.keep(led, "led")
 
     def hold(pairs: DataFrame, name: str) -> bool:
-        pairs = scratch.keep(pairs, f"{name}-pairs", small=True)
+        pairs = scratch.keep(pairs, f"{name}-pairs")
         some = not pairs.isEmpty()
         if some:
-            parts.add(scratch.keep(_alike(pairs, texts, similarity), name, small=True).where("alike"))
+            parts.add(scratch.keep(_alike(pairs, texts, similarity), name).where("alike"))
         scratch.drop(f"{name}-pairs", name)
         return some
 
     def apart(rows: DataFrame) -> DataFrame:
         return _with_parts(rows, parts.now).where("part_a <> part_b").drop("part_a", "part_b")
 
-    # First the lead that a line shares most buckets with: within a family that is mostly enough, and the other leads are connected to the line by then.
-    best = F.max(F.struct("shared", "of", (-F.col("b")).alias("at"))).over(Window.partitionBy("a"))
-    pairs = led.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("of").alias("of")).withColumn("best", -best["at"] == F.col("b"))
-    pairs = scratch.keep(pairs.select("a", "b", "best"), "pairs", small=True)
-    if not hold(pairs.where("best").select("a", "b"), "leads"):
+    if not hold(led.select("a", "b").distinct(), "leads"):
         return parts.now
-    hold(apart(pairs.where("not best").select("a", "b")), "others")
-    scratch.drop("pairs")
-    left = apart(led)
+    left = apart(led.where(F.col("size") > SMALL))
     for k in range(ROUNDS):
-        left = scratch.keep(left.select("band", "n", F.col("a").alias("line")), f"left{k}", small=True)
+        left = scratch.keep(left.select("band", "n", F.col("a").alias("line")), f"left{k}")
         again = left.withColumn("top", top).select("band", "n", F.col("line").alias("a"), (-F.col("top.at")).alias("b")).where("a <> b")
         if not hold(apart(again.select("a", "b").distinct()), f"again{k}"):
             break
@@ -216,20 +250,13 @@ def _components(members: DataFrame, texts: DataFrame, similarity: float, scratch
         if k:
             scratch.drop(f"left{k - 1}")
     small = _with_parts(led.where(F.col("size") <= SMALL).select("band", "a", "b"), parts.now).select("band", F.col("a").alias("line"), F.col("part_a").alias("part"))
-    small = scratch.keep(small, "small", small=True)
-    rest = small.select("band", F.col("line").alias("a"), F.col("part").alias("p")).join(small.withColumnRenamed("line", "b"), "band").where("a < b and p <> part").select("a", "b", F.lit(0).cast("long").alias("shared"))
+    rest = small.select("band", F.col("line").alias("a"), F.col("part").alias("p")).join(small.withColumnRenamed("line", "b"), "band").where("a < b and p <> part").select("a", "b")
     groups = _with_parts(led.where(F.col("size") > SMALL).select("a", "b").distinct(), parts.now)
     mixed = groups.groupBy("b").agg(F.min("part_a").alias("low"), F.max("part_a").alias("high")).where("low <> high").select("b")
-    groups = scratch.keep(groups.join(mixed, "b", "left_semi"), "groups", small=True)
+    groups = scratch.keep(groups.join(mixed, "b", "left_semi"), "groups")
     if not groups.isEmpty():
         rest = rest.unionByName(_partners(groups, texts, similarity, scratch))
-    # Of these, too, first the pair that shares most for each line, as within a family few links connect the others.
-    rest = rest.groupBy("a", "b").agg(F.max("shared").alias("shared"))
-    most = [F.max(F.struct("shared", x)).over(Window.partitionBy(y))[x] == F.col(x) for x, y in (("b", "a"), ("a", "b"))]
-    rest = scratch.keep(rest.withColumn("best", most[0] | most[1]).select("a", "b", "best"), "partners", small=True)
-    if hold(rest.where("best").select("a", "b"), "best"):
-        hold(apart(rest.where("not best").select("a", "b")), "rest")
-    scratch.drop("partners")
+    hold(rest.distinct(), "rest")
     return parts.now
 
 
@@ -248,23 +275,27 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = scratch.keep(_lines(docs, least).select("doc_id", "line_no", "line"), "lines")
-    signed = scratch.keep(_signed(_lines(docs, least)), "signed", small=True)
-    # All rows of a line have the same counts.
-    distinct = scratch.keep(signed.groupBy("line").agg(F.max("n").alias("n"), F.min("min_doc").alias("min_doc")), "distinct", small=True)
+    signed = scratch.keep(_signed(_lines(docs, least)), "signed")
+    distinct = scratch.keep(signed.drop("bands"), "distinct")
     crowd = F.count("*").over(Window.partitionBy("band"))
     members = signed.select("line", F.explode("bands").alias("band")).withColumn("size", crowd).where("size > 1").select("band", "line")
-    members = scratch.keep(members.join(distinct.select("line", "n"), "line").select("band", "line", "n"), "members", small=True)
+    members = scratch.keep(members.join(distinct.select("line", "n"), "line").select("band", "line", "n"), "members")
     scratch.drop("signed")
     # Texts of the lines in these buckets, from the document that has each first.
     wanted = _few(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), scratch, "wanted", MOST_TEXTS)
     rows = _lines(docs, least).where("line is not null").join(wanted, "line").where("doc_id <=> of")
-    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")), "texts", small=True)
+    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")), "texts")
     parts = _components(members, texts, similarity, scratch)
-    of = distinct.join(parts, distinct["line"] == parts["node"], "left").select("line", "min_doc", "n", F.coalesce("component", "line").alias("class_id"))
-    of = scratch.keep(of, "classes", small=True)
-    heads = of.groupBy("class_id").agg(F.min("min_doc").alias("head"), F.sum("n").alias("total"))
-    of = scratch.keep(of.select("line", "class_id").join(heads, "class_id"), "heads", small=True)
-    scratch.drop("distinct", "members", "wanted", "texts", "led", "small", "groups", "shared", "classes")
+    scratch.drop("members", "wanted", "texts", "led", "groups", "shared")
+    # Only lines with links have classes of several; the others lead their own.
+    linked = scratch.keep(distinct.join(parts.withColumnRenamed("node", "line"), "line"), "linked")
+    heads = linked.groupBy("component").agg(F.min("min_doc").alias("head"), F.sum("n").alias("sum"))
+    linked = scratch.keep(linked.select("line", "component").join(heads, "component"), "heads")
+    of = distinct.join(linked, "line", "left")
+    alone = F.col("component").isNull()
+    of = of.select("line", F.coalesce("component", "line").alias("class_id"), F.when(alone, F.col("min_doc")).otherwise(F.col("head")).alias("head"), F.when(alone, F.col("n")).otherwise(F.col("sum")).alias("total"))
+    of = scratch.keep(of, "classes")
+    scratch.drop("distinct", "linked", "heads")
     found = lines.where("line is not null").join(of, "line")
     first = F.min("line_no").over(Window.partitionBy("doc_id", "class_id"))
     inside = found.where("total > 1 and doc_id <=> head").withColumn("kept", F.col("line_no") == first).select("doc_id", "line_no", "class_id", "kept")

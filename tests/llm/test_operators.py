@@ -317,6 +317,37 @@ def test_lines_of_a_family_that_share_few_differences(spark, monkeypatch):
     assert sum(compared) < 10 * len(norms), compared
 
 
+@pytest.mark.parametrize("on_driver", [0, 50_000])
+def test_lines_of_one_passage_seldom_meet(spark, monkeypatch, on_driver):
+    """Lines that share a passage and are else unlike all lack the lead's own text, but pairs of them do not meet in it; components are as of all pairs, whoever joins the links."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = letters(300)
+    norms = {k: letters(48) + passage + letters(rng.randrange(8, 16)) for k in range(1, 81)}
+    norms |= {k: norms[k - 80][:-3] + letters(10) for k in range(81, 101)}
+    sets = {k: {x[i : i + 8] for i in range(len(x) - 7)} for k, x in norms.items()}
+    want = Sets(norms)
+    for a in norms:
+        for b in range(1, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                want.join(a, b)
+    met, meetings = [], lines._meetings
+    monkeypatch.setattr(lines, "_meetings", lambda *a: met.append(meetings(*a).count()) or meetings(*a))
+    monkeypatch.setattr(lines, "MOST_LINKS", on_driver)
+    members = spark.createDataFrame([(0, k, 9 if k == 1 else 1) for k in norms], "band long, line long, n long")
+    got = {r["node"]: r["component"] for r in lines._components(members, spark.createDataFrame([*norms.items()], "line long, norm string"), 0.8, Scratch(spark, "t")).collect()}
+    assert {k: got.get(k, k) for k in norms} == {k: want.top(k) for k in norms} and len(set(map(want.top, norms))) == 80
+    assert met and sum(met) < 10 * len(norms), met
+
+
+def test_a_line_is_signed_in_one_row(spark):
+    """However many signatures and parts a line has: tables of several rows a line were the most that line dedup kept on disk."""
+    rows = [(k, " ".join(f"word{k * j}" for j in range(n))) for k, n in enumerate((5, 20, 30, 39, 50, 70, 300), start=11)]
+    found = lines._signed(lines._lines(spark.createDataFrame([*rows, *rows], "doc_id long, text string"), 20)).collect()
+    assert sorted((r["min_doc"], r["n"]) for r in found) == [(k, 2) for k, _ in rows]
+    assert all(4 <= len(set(r["bands"])) == len(r["bands"]) <= 16 for r in found)
+
+
 @pytest.mark.parametrize("words_of_line", [4, 12, 22, 26, 36, 80, 300])
 def test_lines_share_a_band(spark, words_of_line):
     """Of pairs at a likeness of 0.8 to 0.85, short, middle and long, nine of ten or more share a band."""
