@@ -5,6 +5,8 @@ A template gives each row a source text, @ standing for the row's key and § for
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,13 +98,19 @@ def _text(template: str, key: str) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("@"), F.col(key).cast("string")), F.lit("§"), F.lit("@"))
 
 
-def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    """The facts of all files; path is the row's key."""
-    files = None
-    for lang, (table, key, template) in FILES.items():
-        rows = t(spark, sf, table).select(F.lit(lang).alias("repo"), F.col(key).cast("string").alias("path"), F.lit(lang).alias("lang"), _text(template, key).alias("text"))
+def _facts(spark: SparkSession, sf: str, *want: str, langs: Collection[str] = tuple(FILES)) -> DataFrame:
+    """The facts of the kinds in ``want`` of all files in ``langs``; path is the row's key.
+
+    Keys are dealt to all cores before the texts are made: a small table of many rows is read by few tasks.
+    """
+    files, text = None, None
+    for lang in langs:
+        table, key, template = FILES[lang]
+        rows = t(spark, sf, table).select(F.lit(lang).alias("repo"), F.col(key).cast("string").alias("path"), F.lit(lang).alias("lang"))
         files = rows if files is None else files.unionByName(rows)
-    return extract_files(files)
+        text = (F if text is None else text).when(F.col("lang") == lang, _text(template, "path"))
+    dealt = files.repartition(3 * spark.sparkContext.defaultParallelism)
+    return extract_files(dealt.withColumn("text", text), want=want or None)
 
 
 def expected(columns: str, rows: dict[str, list[tuple]]) -> str:
@@ -171,7 +179,7 @@ CALLS = {
 
 @query(expected("callee line", CALLS))
 def q_extract_calls(spark, sf):
-    return _facts(spark, sf).select("lang", "path", F.inline("calls"))
+    return _facts(spark, sf, "calls").select("lang", "path", F.inline("calls"))
 
 
 SUPERTYPES = {

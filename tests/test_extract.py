@@ -150,3 +150,46 @@ def test_async_arrows_are_not_calls():
 def test_attributes_are_not_calls():
     f = extract("csharp", "a.cs", "[Own(1), N.Other(2)][Last(3)]\nclass A { [Get(\"x\")] public X F([From(\"q\")] int a) { return b[g(1)][h(2)]; } }\n")
     assert [c["callee"] for c in f["calls"]] == ["g", "h"]
+
+
+@pytest.mark.parametrize(
+    ("lang", "text"),
+    [
+        ("java", 'import a.B;\n@Service\nclass A extends C { static final String U = "/api/u"; @Get("/x") void f() { rest.getForObject(U, X.class); } }\n'),
+        ("typescript", "import { a } from './b';\nclass A extends B { run() { fetch('/api/a'); } }\n"),
+        ("python", '@app.get("/a")\ndef f():\n    import json\n    return [g(x) for x in requests.get("/api/b")]\nclass A(B):\n    __tablename__ = "t"\n'),
+        ("python", "import json\ndef broken(:\n  x(\n"),
+        ("rust", "use std::fmt;\nimpl Show for P { fn show(&self) { write(1) } }\n"),
+    ],
+)
+def test_kinds_of_facts_do_not_hang_on_what_else_is_wanted(lang, text):
+    from ctxloom.sources.framework import FRAMEWORK_KINDS, has_framework_facts
+
+    every, web = extract(lang, "a", text), framework_facts(lang, text)
+    for kind in ("symbols", "imports", "calls", "supertypes"):
+        assert extract(lang, "a", text, {kind})[kind] == every[kind]
+    for kind in FRAMEWORK_KINDS:
+        assert framework_facts(lang, text, want={kind})[kind] == web[kind]
+        assert has_framework_facts(lang, want={kind}) or not web[kind]
+
+
+def test_only_wanted_facts_are_looked_for(monkeypatch):
+    from ctxloom.sources import extract as E
+
+    monkeypatch.setattr(E.Facts, "symbol", lambda *_: pytest.fail("symbols were not wanted"))
+    assert E.extract("rust", "a.rs", "use std::fmt;\n", {"imports"})["imports"] == ["std::fmt"]
+    monkeypatch.setattr(E.Source, "called", lambda *_: pytest.fail("calls were not wanted"))
+    assert E.extract("java", "A.java", "import a.B;\nvoid f() { g(); }\n", {"imports"})["imports"] == ["a.B"]
+
+
+def test_files_of_a_small_table_are_dealt_to_all_cores(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from ctxloom.plans import project
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not here")
+    java = project.q_extract_symbols(spark, "/root/testdata/sf0.001").where("lang = 'java'")
+    assert java.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
