@@ -165,7 +165,7 @@ IMPORTS = {"java": ["java.util.List", "shop.Base.of"], "typescript": ["./api@"],
 
 @query(expected("spec", {lang: [(x,) for x in of] for lang, of in IMPORTS.items()}))
 def q_extract_imports(spark, sf):
-    return _facts(spark, sf).select("lang", "path", F.explode("imports").alias("spec"))
+    return _facts(spark, sf, "imports").select("lang", "path", F.explode("imports").alias("spec"))
 
 
 CALLS = {
