@@ -198,7 +198,7 @@ def q_extract_supertypes(spark, sf):
 
 @query(expected("name partial", {"csharp": [("Form@", True), ("Plain@", False)]}))
 def q_extract_partial(spark, sf):
-    return _facts(spark, sf).where("lang = 'csharp'").select("lang", "path", F.inline("symbols")).where("kind = 'class'").select("lang", "path", "name", "partial")
+    return _facts(spark, sf, "symbols", langs=["csharp"]).select("lang", "path", F.inline("symbols")).where("kind = 'class'").select("lang", "path", "name", "partial")
 
 
 def _web(spark: SparkSession, sf: str, kind: str, schema: str) -> DataFrame:
