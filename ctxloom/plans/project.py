@@ -156,7 +156,7 @@ SIGNATURES = {
 @query(expected("name signature doc", SIGNATURES))
 def q_extract_signatures(spark, sf):
     """First lines and comments of the types, and of functions outside them."""
-    rows = _facts(spark, sf).select("lang", "path", F.inline("symbols")).where(F.col("kind").isin("class", "struct", "trait") | (F.col("lang").isin("typescript", "python") & F.rlike("signature", F.lit("^(interface|function|def|async) ?.*[0-9]"))))
+    rows = _facts(spark, sf, "symbols").select("lang", "path", F.inline("symbols")).where(F.col("kind").isin("class", "struct", "trait") | (F.col("lang").isin("typescript", "python") & F.rlike("signature", F.lit("^(interface|function|def|async) ?.*[0-9]"))))
     return rows.where("not (lang = 'typescript' and kind = 'class')").select("lang", "path", "name", "signature", "doc")
 
 
