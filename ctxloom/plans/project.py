@@ -193,7 +193,7 @@ SUPERTYPES = {
 
 @query(expected("sub super", SUPERTYPES))
 def q_extract_supertypes(spark, sf):
-    return _facts(spark, sf).select("lang", "path", F.inline("supertypes"))
+    return _facts(spark, sf, "supertypes").select("lang", "path", F.inline("supertypes"))
 
 
 @query(expected("name partial", {"csharp": [("Form@", True), ("Plain@", False)]}))
