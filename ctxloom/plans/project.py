@@ -141,7 +141,7 @@ SYMBOLS = {
 
 @query(expected("name kind start_line end_line", SYMBOLS))
 def q_extract_symbols(spark, sf):
-    return _facts(spark, sf).select("lang", "path", F.inline("symbols")).select("lang", "path", "name", "kind", "start_line", "end_line")
+    return _facts(spark, sf, "symbols").select("lang", "path", F.inline("symbols")).select("lang", "path", "name", "kind", "start_line", "end_line")
 
 
 SIGNATURES = {
