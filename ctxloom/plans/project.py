@@ -248,7 +248,7 @@ def q_framework_api_calls(spark, sf):
 def q_framework_constants(spark, sf):
     """String constants by their names and by those with their types."""
     found = F.from_json("framework", F.lit("struct<string_constants:map<string,string>>"))["string_constants"]
-    return _facts(spark, sf).where("lang = 'java'").select("lang", "path", F.explode(found).alias("name", "value"))
+    return _facts(spark, sf, "string_constants", langs=["java"]).select("lang", "path", F.explode(found).alias("name", "value"))
 
 
 @query("WITH s AS (SELECT o_custkey::VARCHAR AS k FROM orders GROUP BY o_custkey) SELECT k AS path, concat('one', k) AS name, concat('shop.M', k) AS namespace, 2 AS start_line, 2 AS end_line, concat('t', k, ',sizes') AS tables FROM s UNION ALL SELECT k, 'two', concat('shop.M', k), 3, 5, concat('w', k) FROM s")
