@@ -15,6 +15,7 @@ from ctxloom.functions import text as X
 from ctxloom.operators import resolve as R
 from ctxloom.plans.catalogue import query, t
 from ctxloom.sources.extract import extract_files
+from ctxloom.sources.framework import has_framework_facts
 
 JAVA = """package shop.p@;
 import java.util.List;
@@ -204,7 +205,8 @@ def q_extract_partial(spark, sf):
 def _web(spark: SparkSession, sf: str, kind: str, schema: str) -> DataFrame:
     """One kind of the framework facts, a row each."""
     facts = F.from_json("framework", F.lit(f"struct<{kind}:array<struct<{schema}>>>"))
-    return _facts(spark, sf).select("lang", "path", F.inline(facts[kind]))
+    langs = [lang for lang in FILES if has_framework_facts(lang, want=[kind])]
+    return _facts(spark, sf, kind, langs=langs).select("lang", "path", F.inline(facts[kind]))
 
 
 ROUTES = {"java": [("GET", "/api/v@/items/{}", "find@"), ("POST", "/api/v@", "add")], "python": [("POST", "/orders@/{}", "put@")], "csharp": [("GET", "/api/f@/{}", "Load")]}
