@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ctxloom.functions import text as X
 
 MAX_CANDIDATES = 3
+#: Pairs of one key that a task makes; keys with more are dealt to several tasks.
+PAIRS = 4_000_000
 CALLABLE = ("method", "function", "constructor", "class", "record")
 
 
@@ -105,10 +107,33 @@ def link_api_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return live.select("id", "method", "path").join(best, "id", "left")
 
 
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(src, dst) for every pair of rows of ``left`` (src, key) and ``right`` (dst, key) with the same key.
+
+    The pairs of a key can be as many as the product of its rows, so its left rows are dealt to parts and its right rows copied to each.
+    """
+    count = lambda df, n: df.groupBy("key").agg(F.count("*").alias(n))
+    parts = count(left, "n").join(count(right, "m"), "key").select("key", F.ceil(F.col("n") * F.col("m") / F.lit(PAIRS)).alias("parts"))
+    a = left.join(parts, "key").select("src", "key", F.pmod(F.xxhash64("src"), "parts").alias("part"))
+    b = right.join(parts, "key").select("dst", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["key", "part"]).select("src", "dst")
+
+
+def _by_names(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows of ``named`` (dst, key): those of ids with one key, which give no pair twice, and those of ids with several."""
+    span = named.where("key is not null").groupBy("dst").agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    several = span.where("key <> last").select(F.col("dst").alias("of"))
+    return span.where("key = last").select("dst", "key"), named.join(several, F.col("dst").eqNullSafe(F.col("of")), "left_semi").distinct()
+
+
 def supertype_edges(supertypes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``supertypes`` (id of the subtype, super) to every symbol of that name, 0.85."""
-    hit = supertypes.select(F.col("id").alias("sub"), "super").join(symbols.select(F.col("id").alias("target"), F.col("name").alias("super")), "super").where("sub <> target")
-    return hit.select(*edge("sub", "target", "extends_implements", 0.85)).distinct()
+    """``supertypes`` (id of the subtype, super) to every symbol of that name, 0.85.
+
+    Pairs are only sorted out where a symbol's id has several names; others come once.
+    """
+    subs = supertypes.select(F.col("id").alias("src"), F.col("super").alias("key")).distinct()
+    one, several = _by_names(symbols.select(F.col("id").alias("dst"), F.col("name").alias("key")))
+    return _pairs(subs, one).unionByName(_pairs(subs, several).distinct()).where("src <> dst").select(*edge("src", "dst", "extends_implements", 0.85))
 
 
 def inject_edges(injects: DataFrame, symbols: DataFrame, supertypes: DataFrame) -> DataFrame:
