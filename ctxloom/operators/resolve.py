@@ -150,14 +150,17 @@ def inject_edges(injects: DataFrame, symbols: DataFrame, supertypes: DataFrame)
 def test_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """Edges from symbols in test files to what they test: by name (0.9), else by a call (0.6).
 
-    ``symbols``: id, name, kind, path; ``calls``: src (an enclosing symbol's id) and callee.
+    ``symbols``: id, name, kind, path; ``calls``: src (an enclosing symbol's id) and callee. A call of what the test is named after is left out before
+    pairs are made; pairs are only compared where a target's id has several names.
     """
-    targets = symbols.where(F.col("kind").isin(*CALLABLE)).where(~X.is_test_path("path")).select(F.col("id").alias("target"), F.col("name").alias("t_name"))
-    tests = symbols.where(X.is_test_path("path")).select(F.col("id").alias("test"), "name")
-    by_name = tests.withColumn("base", X.test_subject("name")).where("base is not null").join(targets, F.col("base") == F.col("t_name")).select("test", "target").distinct()
-    by_call = calls.join(tests.select("test"), F.col("src") == F.col("test")).join(targets, F.col("callee") == F.col("t_name")).select("test", "target").distinct()
-    by_call = by_call.join(by_name, ["test", "target"], "left_anti")
-    return by_name.select(*edge("test", "target", "tests", 0.9)).unionByName(by_call.select(*edge("test", "target", "tests", 0.6)))
+    targets = symbols.where(F.col("kind").isin(*CALLABLE)).where(~X.is_test_path("path")).select(F.col("id").alias("dst"), F.col("name").alias("key"))
+    one, several = _by_names(targets)
+    tests = symbols.where(X.is_test_path("path")).select(F.col("id").alias("src"), X.test_subject("name").alias("key"))
+    named = tests.where("key is not null").distinct()
+    called = calls.select("src", F.col("callee").alias("key")).join(tests.select("src"), "src", "left_semi").distinct()
+    by_name = _pairs(named, one).unionByName(_pairs(named, several).distinct())
+    by_call = _pairs(called.join(named, ["src", "key"], "left_anti"), one).unionByName(_pairs(called, several).distinct().join(_pairs(named, several), ["src", "dst"], "left_anti"))
+    return by_name.select(*edge("src", "dst", "tests", 0.9)).unionByName(by_call.select(*edge("src", "dst", "tests", 0.6)))
 
 
 def handle_edges(routes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import sqlite3
 import subprocess
 import zlib
@@ -20,6 +21,7 @@ from ctxloom.operators import drift as D
 from ctxloom.operators import graph as G
 from ctxloom.operators import history as H
 from ctxloom.operators import rank as P
+from ctxloom.operators import resolve as R
 from ctxloom.operators import search as S
 from ctxloom.operators import store as W
 from ctxloom.sources import files as FS
@@ -294,3 +296,32 @@ def test_warm_index(graph):
     """What an earlier index of this tree parsed is not parsed again."""
     metrics = graph.index()
     assert metrics["cache"]["misses"] == 0 and metrics["cache"]["rate"] == 1.0 and metrics["files"] and metrics["coverage"] and metrics["api_calls"]["linked"] > 0
+
+
+def _shuffles_pairs(df):
+    """Whether rows of df are shuffled by both ends, in the plan as it was run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return any("src#" in x and "dst#" in x or "sub#" in x and "target#" in x or "test#" in x and "target#" in x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+
+
+@pytest.mark.parametrize("names", [1, 2])
+@pytest.mark.parametrize("most", [3, 4_000_000])
+def test_pairs_of_tests_and_supertypes_come_once(spark, monkeypatch, names, most):
+    """Against brute force, with ids of one name and of several, and keys that are dealt to parts."""
+    monkeypatch.setattr(R, "PAIRS", most, raising=False)
+    symbols = [(f"m{k % (60 // names)}", f"Svc{k % 4}", "class", f"src/main/m{k % (60 // names)}.java") for k in range(60)]
+    symbols += [(f"t{k % (40 // names)}", f"Svc{k % 3}Test", "class", f"src/test/t{k % (40 // names)}.java") for k in range(40)]
+    calls = [(f"t{k % 23}", f"Svc{k % 5}") for k in range(80)] + [("m1", "Svc1"), ("gone", "Svc2")]
+    supers = [(f"m{k % 7}", f"Svc{k % 3}") for k in range(30)]
+    s = spark.createDataFrame(symbols, "id string, name string, kind string, path string")
+    tests, targets = [x for x in symbols if x[0][0] == "t"], [x for x in symbols if x[0][0] == "m"]
+    by_name = {(a[0], b[0]) for a in tests for b in targets if a[1] == f"{b[1]}Test"}
+    ids = {a[0] for a in tests}
+    by_call = {(a, b[0]) for a, callee in calls if a in ids for b in targets if b[1] == callee} - by_name
+    found = R.test_edges(s, spark.createDataFrame(calls, "src string, callee string"))
+    assert sorted((r.src, r.dst, r.confidence) for r in found.collect()) == sorted([(*x, 0.9) for x in by_name] + [(*x, 0.6) for x in by_call])
+    above = R.supertype_edges(spark.createDataFrame(supers, "id string, super string"), s)
+    assert sorted((r.src, r.dst) for r in above.collect()) == sorted({(a, x[0]) for a, name in supers for x in symbols if x[1] == name and x[0] != a})
+    if names == 1:
+        assert not _shuffles_pairs(found.select("src", "dst")) and not _shuffles_pairs(above)
