@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxloom.llm.components import connected_components
-from ctxloom.llm.shared import Scratch, parallelism, unused
+from ctxloom.llm.shared import Scratch, parallelism, setting, unused
 
 SHINGLE, ROWS = 8, 5
 #: Corners that a shingle is held against, out of four times as many: its hash's two high bits choose them.
@@ -32,15 +32,32 @@ MOST_BROADCAST = 200_000
 MOST_LINKS = 50_000
 #: Likewise for the lines whose texts are read again, as without a broadcast all lines' texts are shuffled.
 MOST_TEXTS = 500_000
+#: Spark's switch that aggregates rows which are sorted by their keys in that order, without a hash map. A line's signatures are.
+BY_ORDER = "spark.sql.execution.replaceHashWithSortAgg"
 #: Removed lines of a document that are broadcast; longer lists go by a shuffle.
 MOST_LINES = 100
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line_no, norm, line) of every line; ``line`` hashes the normalised text and is null for lines that are too short to compare."""
-    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
-    split = split.select("doc_id", "line_no", F.lower(F.trim("text")).alias("norm"))
-    return split.select("doc_id", "line_no", "norm", F.when(F.char_length("norm") >= least, F.xxhash64("norm")).alias("line"))
+    """(doc_id, row, line_no, norm, line) of every line; ``line`` hashes the normalised text and is null for lines that are too short to compare, ``row`` is the document's (see ``_row``)."""
+    split = docs.select("doc_id", _row().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text"))
+    split = split.select("doc_id", "row", "line_no", F.lower(F.trim("text")).alias("norm"))
+    return split.select("doc_id", "row", "line_no", "norm", F.when(F.char_length("norm") >= least, F.xxhash64("norm")).alias("line"))
+
+
+def _row() -> Column:
+    """A hash of a document's id and text: rows that repeat an id, or have none, are told apart unless they are equal."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(line, norm) of the lines of ``wanted`` (line, of), each read from one place in a document that has it first: other lines are not normalised again, and documents without such a place are not split."""
+    at = lines.where("line is not null").join(wanted, "line").where("doc_id <=> of").groupBy("line").agg(F.min(F.struct("row", "line_no")).alias("at"))
+    at = at.groupBy(F.col("at.row").alias("row")).agg(F.collect_list(F.struct("line", F.col("at.line_no").alias("line_no"))).alias("found"))
+    at = _few(at, scratch, "places", MOST_TEXTS)
+    rows = docs.withColumn("row", _row()).join(at, "row").select(F.split(F.coalesce("text", F.lit("")), "\n").alias("split"), "found").select("split", F.explode("found").alias("at"))
+    rows = rows.select("at.line", F.lower(F.trim(F.get("split", F.col("at.line_no")))).alias("norm"))
+    return rows.groupBy("line").agg(F.max("norm").alias("norm"))
 
 
 def _signed(lines: DataFrame) -> DataFrame:
@@ -71,11 +88,11 @@ def _signed(lines: DataFrame) -> DataFrame:
     by_place = F.xxhash64(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * SHINGLE)))
     rows = rows.select("n", "min_doc", "line", "kind", F.shiftright(F.when(F.col("kind") == 0, by_place).otherwise(by_word), 32).cast("int").alias("h"))
     # The two high bits say which corners a shingle is held against: each row of an aggregate has few columns then.
-    # Fifteen more bits make a distance, which takes little room in the shuffle.
+    # Fifteen more bits make a distance.
     corners = [(k << 15) // TOGETHER for k in range(TOGETHER)]
-    part, inside = F.shiftrightunsigned("h", 30), F.shiftright(F.col("h"), 15).bitwiseAND(F.lit((1 << 15) - 1)).cast("short")
+    part, inside = F.shiftrightunsigned("h", 30), F.shiftright(F.col("h"), 15).bitwiseAND(F.lit((1 << 15) - 1))
     rows = rows.select("n", "min_doc", "line", "kind", part.cast("byte").alias("part"), inside.alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(c).cast("short"))).alias(f"m{k}") for k, c in enumerate(corners)]
+    least = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(corners)]
     rows = rows.groupBy("line", "kind", "part").agg(F.max("n").alias("n"), F.min("min_doc").alias("min_doc"), *least)
     bands = [F.xxhash64("kind", "part", F.lit(b), *(F.col(f"m{b * ROWS + k}") for k in range(ROWS))) for b in range(TOGETHER // ROWS)]
     rows = rows.select("line", "n", "min_doc", (F.col("kind") * 4 + F.col("part")).alias("slot"), *(band.alias(f"b{b}") for b, band in enumerate(bands)))
@@ -274,8 +291,9 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = scratch.keep(_lines(docs, least).select("doc_id", "line_no", "line"), "lines")
-    signed = scratch.keep(_signed(_lines(docs, least)), "signed")
+    lines = scratch.keep(_lines(docs, least).select("doc_id", "row", "line_no", "line"), "lines")
+    with setting(docs.sparkSession, BY_ORDER, "true"):
+        signed = scratch.keep(_signed(_lines(docs, least)), "signed")
     distinct = scratch.keep(signed.drop("bands"), "distinct")
     crowd = F.count("*").over(Window.partitionBy("band"))
     members = signed.select("line", F.explode("bands").alias("band")).withColumn("size", crowd).where("size > 1").select("band", "line")
@@ -283,10 +301,9 @@ def line_classes(docs: DataFrame, similarity: float = 0.8, least: int = 20) -> D
     scratch.drop("signed")
     # Texts of the lines in these buckets, from the document that has each first.
     wanted = _few(members.select("line").distinct().join(distinct, "line").select("line", F.col("min_doc").alias("of")), scratch, "wanted", MOST_TEXTS)
-    rows = _lines(docs, least).where("line is not null").join(wanted, "line").where("doc_id <=> of")
-    texts = scratch.keep(rows.groupBy("line").agg(F.max("norm").alias("norm")), "texts")
+    texts = scratch.keep(_texts(docs, lines, wanted, scratch), "texts")
     parts = _components(members, texts, similarity, scratch)
-    scratch.drop("members", "wanted", "texts", "led", "groups", "shared")
+    scratch.drop("members", "wanted", "places", "texts", "led", "groups", "shared")
     # Only lines with links have classes of several; the others lead their own.
     linked = scratch.keep(distinct.join(parts.withColumnRenamed("node", "line"), "line"), "linked")
     heads = linked.groupBy("component").agg(F.min("min_doc").alias("head"), F.sum("n").alias("sum"))

@@ -50,6 +50,17 @@ def temporary() -> Iterator[None]:
             scratch.drop("")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """One of Spark's switches (off unless set), held at ``value`` for what is run inside the block."""
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written into the shared folder: they cut lineage and outlive lost executors.
 
@@ -65,12 +76,8 @@ class Scratch:
         """Writes ``df``; ``small`` deals its rows anew into as few files as their bytes need, where the work before has many tasks and few rows."""
         df = df.hint("rebalance") if small else df
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(FREE_SHUFFLES, "false")
-        self.spark.conf.set(FREE_SHUFFLES, "true")  # what the write shuffled isn't read again once the table stands
-        try:
+        with setting(self.spark, FREE_SHUFFLES, "true"):  # what the write shuffled isn't read again once the table stands
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        finally:
-            self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -348,6 +348,25 @@ def test_a_line_is_signed_in_one_row(spark):
     assert all(4 <= len(set(r["bands"])) == len(r["bands"]) <= 16 for r in found)
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_lines_are_read_again_from_one_place_each(spark, monkeypatch, few):
+    """All lines are normalised twice, not a third time for the texts of candidates: each of these is read at one place, whatever ids repeat or are null."""
+    rng = random.Random(31)
+    base = ["".join(rng.choice("abcdefghij klmno") for _ in range(200)).strip() for _ in range(12)]
+    rows = [(k % 5 if k % 7 else None, "\n".join([f"only here {k} {rng.random()} and nowhere else", "", base[k % 12].upper() + " ", base[(k * 5) % 12][:-2] + "zz"])) for k in range(40)]
+    calls, read, line_rows, texts = [], [], lines._lines, lines._texts
+    monkeypatch.setattr(lines, "_lines", lambda *a: calls.append(1) or line_rows(*a))
+    monkeypatch.setattr(lines, "_texts", lambda *a: read.append((a[2].collect(), texts(*a).collect())) or texts(*a))
+    monkeypatch.setattr(lines, "MOST_TEXTS", few)
+    got = lines.line_classes(spark.createDataFrame([*rows, *rows[:9]], "doc_id long, text string")).where("class_id is not null").collect()
+    assert len(calls) == 2
+    (wanted, found), = read
+    of = {r["line"]: r["norm"] for r in line_rows(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()}
+    assert sorted(r["line"] for r in wanted) == sorted(r["line"] for r in found) and len(found) >= 24
+    assert all(r["norm"] == of[r["line"]] for r in found)
+    assert len({r["class_id"] for r in got}) == len(base) + len(rows)
+
+
 @pytest.mark.parametrize("words_of_line", [4, 12, 22, 26, 36, 80, 300])
 def test_lines_share_a_band(spark, words_of_line):
     """Of pairs at a likeness of 0.8 to 0.85, short, middle and long, nine of ten or more share a band."""
